@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, language_id, lm_score, mixing, near_dedup, quality_rules, secret_scan
+from . import chat_format, decontaminate, language_id, lm_score, mixing, near_dedup, quality_crf, quality_rules, secret_scan, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -39,6 +43,10 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -52,8 +60,10 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op4_decontamination": op4_decontamination,
+    "op5_quality_crf": op5_quality_crf,
     "op6_chat_format": op6_chat_format,
     "op7_lm_score": op7_lm_score,
+    "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
