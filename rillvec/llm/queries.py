@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_format, decontaminate, language_id, lm_score, mixing, near_dedup, quality_crf, quality_rules, secret_scan, url_filter
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,25 +70,3 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
-
-ORACLES: dict[str, str] = {}
-
-_TURNS = """
-WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
-), e AS (
-  SELECT *, replace(replace(replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)),
-    '<s>', '<' || chr(92) || 's>'), '</s>', '<' || chr(92) || '/s>'), '[INST]', '[' || chr(92) || 'INST]'), '[/INST]', '[' || chr(92) || '/INST]'),
-    '[ROLE]', '[' || chr(92) || 'ROLE]'), '[/ROLE]', '[' || chr(92) || '/ROLE]') AS body FROM t
-), c AS (
-  SELECT conv_id, count(*) AS n_turns,
-    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
-    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
-    sum(length(body) + CASE role WHEN 'user' THEN 19 WHEN 'assistant' THEN 7 ELSE 20 + length(role) END) AS formatted
-  FROM e GROUP BY conv_id
-)
-SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
-  sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM c
-"""
-ORACLES["op6_chat_format"] = _TURNS
