@@ -8,14 +8,15 @@
    the two weighted sets.
 2. Texts with the same words are one node.  Signatures are cut into bands;
    nodes that share a band are candidates.
-3. Within a band's bucket every node is compared with one leader only.  The
-   leader is drawn per bucket, so a large group meets many leaders.  Links are
-   verified by the exact Jaccard of the shingle sets, and joined into
-   components.
+3. Within a band's bucket every node is compared with one leader only: the node
+   whose buckets are the fullest, which in a group of copies is the one nearest
+   to all others.  Links are verified by the exact Jaccard of the shingle sets,
+   and joined into components.
 4. Buckets that still hold more than one component are compared in blocks,
    inside a kernel: signatures of block against block, only between different
-   components, and only pairs whose estimate is near the threshold come out,
-   to be verified exactly as well.  No bucket is capped.
+   components and in the first bucket that two nodes share; pairs whose estimate
+   is near the threshold are verified there, on their shingle sets, and only
+   links that join two components come out.  No bucket is capped.
 5. A document's class is the least doc_id of its component.
 
 Edge cases: null texts, and texts without words, link with nothing but their
@@ -76,6 +77,10 @@ def signatures(s: np.ndarray, so: np.ndarray, m: int) -> tuple[np.ndarray, np.nd
     return owner.reshape(n_docs, m), distinct
 
 
+def _node(key: bytes) -> int:
+    return int.from_bytes(hashlib.md5(key).digest()[:8], "little", signed=True)
+
+
 def _sign(bands: int, rows: int):
     m = bands * rows
 
@@ -98,7 +103,7 @@ def _sign(bands: int, rows: int):
                         key = h[off[i] : off[i + 1]].tobytes()
                     else:
                         key = b"\0" + (raw[i].as_py() or "").encode()
-                    nodes.append(int.from_bytes(hashlib.md5(key).digest()[:8], "little", signed=True))
+                    nodes.append(_node(key))
                 full = distinct > 0
                 lists = np.where(full, bands, 0)
                 yield pa.RecordBatch.from_arrays(
@@ -120,27 +125,26 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return pinned(docs, "doc_id", "text").mapInArrow(_sign(bands, rows), "doc_id long, node long, n int, bands array<long>, sig binary")
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, node) to (node, sorted shingles) where the text is the node's; an id may stand on several texts."""
     words = Words()
     for batch in batches:
         for part in parts(batch, 1):
             h, off = words.of(part.column(1))
             s, so = shingles(h, off, SHINGLE)
-            sets = [np.unique(s[so[i] : so[i + 1]]) for i in range(len(part))]
+            node = part.column(2).to_numpy()
+            own = [i for i in range(len(part)) if _node(h[off[i] : off[i + 1]].tobytes()) == node[i]]
+            sets = [np.unique(s[so[i] : so[i + 1]]) for i in own]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64) if len(sets) else np.empty(0, np.int64)))], names=["node", "s"])
-
+            flat = np.concatenate([*sets, np.empty(0, U)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node[own], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["node", "s"])
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those pairs (a, b) of nodes whose shingle sets have a Jaccard of the threshold or more.
 
-    ``texts`` has node and text, one row a node; only nodes in a pair are shingled.
-    """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = durable(texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_shingle_sets, "node long, s array<long>"), "dedup-sets")
+def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those pairs (a, b) of nodes whose shingle sets (node, s) have a Jaccard of the threshold or more."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return durable(both.withColumn("i", shared).where(F.col("i") >= F.lit(threshold) * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b"), "dedup-links")
+    counted = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
+    return durable(counted.where(F.col("i") >= F.lit(threshold) * (F.col("n") - F.col("i"))).select("a", "b"), "dedup-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -161,88 +165,93 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("node", "comp")
 
 
-def _block_pairs(least: float):
+def _block_links(threshold: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
-        comp = table.column("comp").to_numpy()
-        side = table.column("side").to_numpy()
+        bucket = key[0].as_py()
+        node, comp, side, n = (table.column(c).to_numpy() for c in ("node", "comp", "side", "n"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+        bands = np.stack([np.asarray(x) for x in table.column("bands").to_pylist()])
+        here = (bands == bucket).argmax(axis=1)
+        sets = table.column("s").combine_chunks()
+        values, ends = sets.values.to_numpy(), sets.offsets.to_numpy()
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        need = int(np.ceil(least * sig.shape[1]))
+        need = int(np.ceil((threshold - SLACK) * sig.shape[1]))
         a, b = [], []
         for i in left:
-            other = right[(comp[right] != comp[i]) & (node[right] > node[i] if side[i] == 2 else True)]
-            if len(other):
-                hit = other[(sig[other] == sig[i]).sum(axis=1) >= need]
-                a.append(np.full(len(hit), node[i]))
-                b.append(node[hit])
-        a = np.concatenate(a) if a else np.empty(0, np.int64)
-        b = np.concatenate(b) if b else np.empty(0, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            other = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= threshold * np.maximum(n[right], n[i]))]
+            if side[i] == 2:
+                other = other[node[other] > node[i]]
+            other = other[(sig[other] == sig[i]).sum(axis=1) >= need]
+            other = other[(bands[other] == bands[i]).argmax(axis=1) == here[i]]
+            for j in other:
+                p, q = find(int(comp[i])), find(int(comp[j]))
+                if p == q:
+                    continue
+                shared = len(np.intersect1d(values[ends[i] : ends[i + 1]], values[ends[j] : ends[j + 1]], assume_unique=True))
+                if shared >= threshold * (int(n[i]) + int(n[j]) - shared):
+                    root[q] = p
+                    a.append(min(node[i], node[j]))
+                    b.append(max(node[i], node[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def residual_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs between different components of a bucket.
+def residual_links(members: DataFrame, threshold: float) -> DataFrame:
+    """Links that join different components of a bucket.
 
-    ``members`` has bucket, node, comp, n and sig of all buckets with more than
-    one component.  A bucket is dealt to blocks of about ``BLOCK`` nodes; every
-    unordered pair of blocks meets in one task, so no task holds a bucket.
+    ``members`` has bucket, node, comp, n, sig, bands and s of all buckets with
+    more than one component.  A bucket is dealt to blocks of about ``BLOCK``
+    nodes; every unordered pair of blocks meets in one task, so no task holds a
+    bucket.
     """
     blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = members.join(blocks, "bucket").withColumn("mine", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    rows = met.select("bucket", low.alias("low"), high.alias("high"), side.alias("side"), "node", "comp", "sig")
-    return rows.groupBy("bucket", "low", "high").applyInArrow(_block_pairs(threshold - SLACK), "a long, b long").distinct()
+    rows = met.select("bucket", low.alias("low"), high.alias("high"), side.alias("side"), "node", "comp", "n", "sig", "bands", "s")
+    return rows.groupBy("bucket", "low", "high").applyInArrow(_block_links(threshold), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id of every row: near copies share the least doc_id of their class."""
     signed = durable(sign(docs, bands, rows), "dedup-signed")
     nodes = durable(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("n", "bands", "sig"), "doc_id").alias("x")).select("node", "least", "x.n", "x.bands", "x.sig"), "dedup-nodes")
-    text_ids = nodes.select(F.col("least").alias("doc_id"), "node")
 
     in_bucket = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    drawn = F.struct(F.xxhash64("node", "bucket").alias("draw"), F.col("node").alias("leader"), F.col("n").alias("leader_n"))
-    leaders = durable(in_bucket.groupBy("bucket").agg(F.min(drawn).alias("d"), F.count("*").alias("size")).where("size > 1").select("bucket", "d.leader", "d.leader_n", "size"), "dedup-buckets")
-    members = durable(in_bucket.join(leaders, "bucket"), "dedup-members")
+    sizes = durable(in_bucket.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "dedup-buckets")
+    members = durable(in_bucket.join(sizes, "bucket"), "dedup-members")
+    hubs = members.groupBy("node").agg(F.sum("size").alias("hub"))
+    best = members.join(hubs, "node").groupBy("bucket").agg(F.max(F.struct("hub", F.col("node").alias("leader"), F.col("n").alias("leader_n"))).alias("d")).select("bucket", "d.leader", "d.leader_n")
     likely = F.least("n", "leader_n") >= F.lit(threshold) * F.greatest("n", "leader_n")
-    stars = durable(members.where(F.col("node") != F.col("leader")).where(likely).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "dedup-stars")
+    stars = durable(members.join(best, "bucket").where(F.col("node") != F.col("leader")).where(likely).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "dedup-stars")
 
-    wanted = members.select("node").distinct()
-    ids = text_ids.join(wanted, "node", "left_semi")
-    texts = durable(pinned(docs, "doc_id", "text").join(ids, "doc_id").mapInArrow(_own_text, "node long, text string").dropDuplicates(["node"]), "dedup-texts")
-    links = verify(stars, texts, threshold)
+    ids = nodes.select(F.col("least").alias("doc_id"), "node").join(members.select("node").distinct(), "node", "left_semi")
+    sets = durable(pinned(docs, "doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "node").mapInArrow(_own_sets, "node long, s array<long>").dropDuplicates(["node"]), "dedup-sets")
+    links = verify(stars, sets, threshold)
     comp = components(links)
 
-    placed = members.join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    placed = members.join(comp, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
     split = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
-    rest = durable(placed.join(split, "bucket").join(nodes.select("node", "sig"), "node"), "dedup-rest")
-    tested = stars.select("a", "b")
-    pairs = durable(residual_pairs(rest, threshold).join(tested, ["a", "b"], "left_anti"), "dedup-pairs")
-    if not pairs.isEmpty():
-        links = durable(links.union(verify(pairs, texts, threshold)), "dedup-all-links")
-        comp = components(links)
+    rest = durable(placed.join(split, "bucket"), "dedup-rest")
+    more = durable(residual_links(rest.join(nodes.select("node", "sig", "bands"), "node").join(sets, "node"), threshold), "dedup-more-links")
+    if not more.isEmpty():
+        comp = components(links.union(more))
 
     label = durable(nodes.select("node", "least").join(comp, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp")), "dedup-comp")
     named = label.join(label.groupBy("comp").agg(F.min("least").alias("class_id")), "comp").select("node", "class_id")
     return signed.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, node) rows whose text is that of the node; an id may stand on several texts."""
-    words = Words()
-    for batch in batches:
-        for part in parts(batch, 1):
-            h, off = words.of(part.column(1))
-            node = part.column(2).to_numpy()
-            own = [int.from_bytes(hashlib.md5(h[off[i] : off[i + 1]].tobytes()).digest()[:8], "little", signed=True) == node[i] for i in range(len(part))]
-            yield pa.RecordBatch.from_arrays([part.column(2), part.column(1)], names=["node", "text"]).filter(pa.array(own, pa.bool_()))
-
-
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, that of its least doc_id, with all columns of ``docs``.
 
