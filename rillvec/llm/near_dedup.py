@@ -208,18 +208,18 @@ def _block_links(threshold: float):
 def residual_links(members: DataFrame, threshold: float) -> DataFrame:
     """Links that join different components of a bucket.
 
-    ``members`` has bucket, node, comp, n, sig, bands and s of all buckets with
-    more than one component.  A bucket is dealt to blocks of about ``BLOCK``
+    ``members`` has bucket, size, node, comp, n, sig, bands and s of all buckets
+    with more than one component.  A bucket is dealt to blocks of about ``BLOCK``
     nodes; every unordered pair of blocks meets in one task, so no task holds a
     bucket.
     """
-    blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = members.join(blocks, "bucket").withColumn("mine", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")))
+    dealt = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     rows = met.select("bucket", low.alias("low"), high.alias("high"), side.alias("side"), "node", "comp", "n", "sig", "bands", "s")
-    return rows.groupBy("bucket", "low", "high").applyInArrow(_block_links(threshold), "a long, b long").distinct()
+    # Dealt by all three keys: left to itself Spark keeps a bucket's blocks where the join put them, in one task.
+    return rows.repartition("bucket", "low", "high").groupBy("bucket", "low", "high").applyInArrow(_block_links(threshold), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -240,8 +240,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     links = verify(stars, sets, threshold)
     comp = components(links)
 
-    placed = members.join(comp, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    split = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
+    placed = members.join(comp, "node", "left").select("bucket", "size", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    # A table of its own, so that the join below is of two scans and Spark can split a hot bucket.
+    split = durable(placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket"), "dedup-split")
     rest = durable(placed.join(split, "bucket"), "dedup-rest")
     more = durable(residual_links(rest.join(nodes.select("node", "sig", "bands"), "node").join(sets, "node"), threshold), "dedup-more-links")
     if not more.isEmpty():
