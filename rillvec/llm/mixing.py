@@ -6,8 +6,9 @@ tokens of its source up to and including it, divided by the source's target.
 All copies are range-sorted by that time and the order is cut at the budget.
 
 Prefix sums are distributed: rows go to slices of the hash (or of virtual
-time) of about ``ROWS_PER_SLICE`` rows, slice totals give offsets, and only
-within a slice rows are summed in order.  A source of any size is spread over
+time), slice totals give offsets, and only within a slice rows are summed in
+order.  A slice has at most about ``ROWS_PER_SLICE`` rows, and fewer where the
+table would not fill ``SLICES`` of them.  A source of any size is spread over
 all slices, so no task holds a whole source.
 
 Edge cases: a null or empty text has size 0 and is never worth taking; a null
@@ -28,6 +29,11 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 REPEATS = 2
 ROWS_PER_SLICE = 20_000
+SLICES = 512
+
+
+def slices_for(rows: int) -> int:
+    return max(1, rows // ROWS_PER_SLICE, min(SLICES, rows // 200))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -75,14 +81,14 @@ def mix(docs: DataFrame, budget: float = BUDGET, repeats: int = REPEATS, weights
     base = durable(sizes(docs), "mix-sizes")
     goal = durable(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), budget, repeats, weights), "mix-targets")
     rows = base.count()
-    slices = max(1, rows // ROWS_PER_SLICE)
+    slices = slices_for(rows)
     by_hash = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * slices / (1 << 32)).cast("int")
     order = [F.col("key"), F.col("doc_id"), F.col("size")]
     lined = _running(base, by_hash, ["source"], order, slices)
     lined = durable(lined.join(F.broadcast(goal.select(F.col("source").alias("s"), "source_size", "target")) if goal.count() <= 10_000 else goal.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-lined")
     finish = lambda lap: F.when(F.col("target") > 0, (F.col("through") + lap * F.col("source_size")) / F.col("target"))
     copies = lined.where("size > 0 and target > 0").withColumn("lap", F.explode(F.array(*map(F.lit, range(repeats))))).select(finish(F.col("lap")).alias("time"), "source", "key", "doc_id", "size").where("time <= 1.0 + 1e-9")
-    spread = max(1, rows * repeats // ROWS_PER_SLICE)
+    spread = slices_for(rows * repeats)
     timed = _running(copies, F.floor(F.least(F.col("time"), F.lit(1.0)) * spread).cast("int"), [], [F.col("time"), F.col("source").asc_nulls_last(), *order], spread)
     last = timed.where(F.col("through") <= F.lit(budget) * F.lit(goal.agg(F.sum("source_size")).first()[0] or 0)).agg(F.max("time")).first()[0]
     cut = F.lit(last).cast("double")
