@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AlreadyExists, InvalidArgument, Unavailable
 from .exact import fast_sqdist, matrix
-from .ivf import IvfModel, assign, encode, partition_sizes, postings_of
+from .ivf import IvfModel, encode, partition_sizes, postings_of
 
 
 @dataclass(frozen=True)
@@ -168,21 +168,24 @@ def plan_neighbourhoods(centroids: np.ndarray, inserts: dict[int, int], top_r: i
     d = fast_sqdist(centroids, centroids)
     np.fill_diagonal(d, 0.0)
     taken: dict[int, int] = {}
-    for number, seed in enumerate(sorted((p for p in inserts if inserts[p] > 0), key=lambda p: (-inserts[p], p))):
+    number = -1
+    for seed in sorted((p for p in inserts if inserts[p] > 0), key=lambda p: (-inserts[p], p)):
         if seed in taken:
             continue
+        number += 1
         order = [seed, *[int(p) for p in np.argsort(d[seed], kind="stable") if p != seed]][:top_r]
         taken |= {p: number for p in order if p not in taken}
     return taken
 
 
-def repartition_neighbourhoods(recent: DataFrame, main: DataFrame, vectors: DataFrame, model: IvfModel, config: MergeConfig) -> DataFrame:
+def repartition_neighbourhoods(recent: DataFrame, assigned: DataFrame, main: DataFrame, vectors: DataFrame, model: IvfModel, config: MergeConfig) -> DataFrame:
     """doc_id, list_id of all rows whose list is in a neighbourhood that receives rows.
 
-    Neighbourhoods run in parallel; inside one, main rows and then recent rows
+    ``assigned`` (doc_id, list_id) says where recent rows go at first; lists are
+    seeds of neighbourhoods by how many they receive.  Neighbourhoods run in parallel; inside one, main rows and then recent rows
     are dealt by the greedy rule with the neighbourhood's own average.
     """
-    own = assign(recent, model.centroids).select("doc_id", "list_id")
+    own = assigned.select("doc_id", "list_id")
     inserts = {r["list_id"]: r["n"] for r in own.groupBy("list_id").agg(F.count("*").alias("n")).collect()}
     plan = plan_neighbourhoods(model.centroids, inserts, config.top_r)
     shared = recent.sparkSession.sparkContext.broadcast((model.centroids, plan))
@@ -258,7 +261,7 @@ def merge(main: DataFrame, recent: DataFrame, vectors: DataFrame, model: IvfMode
     rows = vectors.join(recent.select("doc_id"), "doc_id", "left_semi").select("doc_id", "x")
     assigned = assign_recent(rows, main, model, config)
     if config.mode == "balanced_append":
-        placed = repartition_neighbourhoods(rows, main, vectors, model, config).persist()
+        placed = repartition_neighbourhoods(rows, assigned.rows, main, vectors, model, config).persist()
         lists = [r[0] for r in main.select("doc_id", "list_id").join(placed.select("doc_id"), "doc_id", "left_semi").select("list_id").union(placed.select("list_id")).distinct().collect()]
     else:
         lists = [r[0] for r in assigned.rows.select("list_id").distinct().collect()]
