@@ -162,7 +162,8 @@ def verdict(ordered: Sequence[tuple[Rule, float, float]], features: Features) ->
 def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """The documents no rule rejects, with all their columns."""
     ordered = order_rules(docs, rules, text)
-    return docs.where(verdict(ordered, features_of(docs, text)).isNull())
+    body = text_of(text)
+    return docs.where(let(words_of(body), lambda words: verdict(ordered, Features(body, words))).isNull())
 
 
 def annotate(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
