@@ -120,7 +120,7 @@ def exact_topk_columns(spark, d):
 def exact_topk_sql(spark, d):
     vec.register(spark)
     base(spark, d).createOrReplaceTempView("rillvec_base")
-    query_rows(spark, d).createOrReplaceTempView("rillvec_queries")
+    exact.check_queries(query_rows(spark, d)).createOrReplaceTempView("rillvec_queries")
     return spark.sql(f"""
         SELECT query_id, doc_id, round(dist, 6) AS dist, rank FROM (
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, doc_id) AS rank FROM (
@@ -497,8 +497,7 @@ _UPDATE = f"""b AS (SELECT m, k, count(*) AS n, list(r) AS rs FROM n JOIN r USIN
 def online_update(spark, d):
     """One codebook update by all rows, from ten earlier rows under each codeword."""
     model = pq_model(spark, d)
-    _, x = mutate._local(base(spark, d))
-    added = mutate.sums(x, ivf.nearest(x, model.centroids)[0], None, model)
+    added = mutate.batch_sums(base(spark, d), model)
     state = mutate.OnlineState(np.full((M, WORDS), 10))
     z, n, _ = mutate.update_codebooks(model, state, added, None, mutate.OnlineConfig())
     rows = [(m, k, int(n[m, k]), float(z[m, k].sum())) for m in range(M) for k in range(WORDS)]

@@ -36,11 +36,16 @@ def top_k(candidates: DataFrame, k: int, by: list[str] | None = None, key: str =
     return candidates.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def exact_topk_columns(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, dist, rank by built-in expressions: the plain twin of the kernel."""
+def check_queries(queries: DataFrame) -> DataFrame:
+    """The same queries, if there are few enough to broadcast at once."""
     if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
         raise InvalidArgument(f"more than {QUERY_BLOCK} queries; use exact_topk")
-    pairs = base.crossJoin(F.broadcast(queries)).select("query_id", "doc_id", l2sq("q", "x").alias("dist"))
+    return queries
+
+
+def exact_topk_columns(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, dist, rank by built-in expressions: the plain twin of the kernel, for one block of queries."""
+    pairs = base.crossJoin(F.broadcast(check_queries(queries))).select("query_id", "doc_id", l2sq("q", "x").alias("dist"))
     return top_k(pairs, k)
 
 
@@ -74,46 +79,52 @@ def nearest_per_row(d: np.ndarray, k: int, spare: int = 8) -> np.ndarray:
     return d <= edge + 1e-9 * (1 + np.abs(edge))
 
 
+_FOUND = "query_id long, part int, doc_id long, dist double"
+
+
 def _scan(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
-        best_d, best_q, best_doc = np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+        dist, group, doc = np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
             if not len(batch):
                 continue
-            doc, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-            near = nearest_per_row(fast_sqdist(q, x), k)
-            at_q, at_x = np.nonzero(near)
-            diff = q[at_q] - x[at_x]
-            best_d = np.concatenate([best_d, np.einsum("ij,ij->i", diff, diff)])
-            best_q, best_doc = np.concatenate([best_q, at_q]), np.concatenate([best_doc, doc[at_x]])
-            order = np.lexsort((best_doc, best_d, best_q))
-            first = np.searchsorted(best_q[order], best_q[order])
-            order = order[np.arange(len(order)) - first < k]
-            best_d, best_q, best_doc = best_d[order], best_q[order], best_doc[order]
-        if len(best_d):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[best_q]), pa.array(best_doc), pa.array(best_d)], names=["query_id", "doc_id", "dist"])
+            own, x, part = batch.column(0).to_numpy(), matrix(batch.column(1)), batch.column(2).to_numpy()
+            found = [(dist, group, doc)]
+            for p in np.unique(part):
+                rows = np.flatnonzero(part == p)
+                at_q, at_x = np.nonzero(nearest_per_row(fast_sqdist(q, x[rows]), k))
+                diff = q[at_q] - x[rows[at_x]]
+                found.append((np.einsum("ij,ij->i", diff, diff), at_q + int(p) * len(ids), own[rows[at_x]]))
+            dist, group, doc = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((doc, dist, group))
+            order = order[np.arange(len(order)) - np.searchsorted(group[order], group[order]) < k]
+            dist, group, doc = dist[order], group[order], doc[order]
+        if len(dist):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[group % len(ids)]), pa.array((group // len(ids)).astype(np.int32)), pa.array(doc), pa.array(dist)], names=["query_id", "part", "doc_id", "dist"])
 
     return run
 
 
+def _candidates(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, part, doc_id, dist: each task's k nearest rows (doc_id, x, part) of each query and part."""
+    if k < 1:
+        raise InvalidArgument("k must be 1 or more")
+    spark = rows.sparkSession
+    found = spark.createDataFrame([], _FOUND)
+    for block in query_blocks(queries):
+        found = found.unionAll(rows.mapInArrow(_scan(spark.sparkContext.broadcast(block), k), _FOUND))
+    return found
+
+
 def exact_topk(base: DataFrame, queries: DataFrame, k: int, seen_rows: int | None = None, ids: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, dist, rank of the k nearest rows, ties by doc_id.
 
     One pass over the base for each block of queries; each task emits at most
     k rows a query.
     """
-    if k < 1:
-        raise InvalidArgument("k must be 1 or more")
-    rows = select_base(base, seen_rows, ids).select("doc_id", "x")
-    found = None
-    for block in query_blocks(queries):
-        shared = base.sparkSession.sparkContext.broadcast(block)
-        part = rows.mapInArrow(_scan(shared, k), "query_id long, doc_id long, dist double")
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        return base.sparkSession.createDataFrame([], "query_id long, doc_id long, dist double, rank int")
-    return top_k(found, k)
+    rows = select_base(base, seen_rows, ids).select("doc_id", "x", F.lit(0).alias("part"))
+    return top_k(_candidates(rows, queries, k).drop("part"), k)
 
 
 def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -139,11 +150,9 @@ def frontier_topk(base: DataFrame, queries: DataFrame, k: int, frontiers: list[i
     steps = sorted(set(frontiers))
     if not steps:
         raise InvalidArgument("no frontiers")
-    interval = F.lit(None).cast("int")
-    for i in reversed(range(len(steps))):
-        interval = F.when(F.col("doc_id") < steps[i], F.lit(i)).otherwise(interval)
-    pairs = select_base(base, steps[-1]).crossJoin(F.broadcast(queries)).select("query_id", "doc_id", l2sq("q", "x").alias("dist"), interval.alias("interval"))
-    kept = pairs.withColumn("r", F.row_number().over(W.partitionBy("query_id", "interval").orderBy("dist", "doc_id"))).where(F.col("r") <= k)
-    every = kept.withColumn("at", F.explode(F.sequence("interval", F.lit(len(steps) - 1)))).withColumn("frontier", F.get(F.array(*map(F.lit, steps)), F.col("at")))
+    limits = F.array(*map(F.lit, steps))
+    below = F.size(F.filter(limits, lambda f: f <= F.col("doc_id")))
+    kept = _candidates(select_base(base, steps[-1]).select("doc_id", "x", below.alias("part")), queries, k)
+    every = kept.withColumn("at", F.explode(F.sequence("part", F.lit(len(steps) - 1)))).withColumn("frontier", F.get(limits, F.col("at")))
     ranked = every.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "frontier").orderBy("dist", "doc_id")))
     return ranked.where(F.col("rank") <= k).select("frontier", "query_id", "doc_id", "dist", "rank")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AlreadyExists, InvalidArgument, Unavailable
 from .exact import fast_sqdist, matrix
-from .ivf import IvfModel, encode, partition_sizes, postings_of
+from .ivf import IvfModel, assign, encode, partition_sizes, postings_of
 
 
 @dataclass(frozen=True)
@@ -105,26 +105,34 @@ def _ratio(sizes: dict[int, int], nlist: int) -> float:
     return max(sizes.values(), default=0) / max(1.0, sum(sizes.values()) / max(1, nlist))
 
 
+#: Rows that one balanced assignment takes: its rule is sequential.  A larger delta is merged in parts.
+MAX_SEQUENTIAL = 5_000_000
+
+
 def assign_recent(recent: DataFrame, main: DataFrame, model: IvfModel, config: MergeConfig) -> Assignment:
-    """Lists for all recent rows, in the order of doc_id."""
+    """Lists for all recent rows: the nearest ones, in parallel; or balanced ones, in the order of doc_id."""
     sizes = {r["list_id"]: r["n"] for r in partition_sizes(main, model.nlist).collect()}
-    near = near_lists(recent, model.centroids, 1 if config.mode == "nearest" else config.top_r).orderBy("doc_id")
+    before = _ratio(sizes, model.nlist)
+    if config.mode == "nearest":
+        rows = assign(recent, model.centroids)
+        for r in rows.groupBy("list_id").agg(F.count("*").alias("n")).collect():
+            sizes[r["list_id"]] = sizes.get(r["list_id"], 0) + r["n"]
+        return Assignment(rows, 0.0, 1.0, 1.0, before, _ratio(sizes, model.nlist))
+    near = near_lists(recent, model.centroids, config.top_r).orderBy("doc_id")
     delta = near.count()
+    if delta > MAX_SEQUENTIAL:
+        raise InvalidArgument(f"{delta} rows are more than {MAX_SEQUENTIAL}; merge them in parts")
     greedy = Greedy(dict(sizes), (sum(sizes.values()) + delta) / max(1, model.nlist), config)
-    placed, moved, ratios = [], 0, []
-    for row in near.toLocalIterator():
+    ids, places, dist, moved, ratios = np.empty(delta, np.int64), np.empty(delta, np.int32), np.empty(delta), 0, np.ones(delta)
+    for i, row in enumerate(near.toLocalIterator()):
         lists, dists = list(row["lists"]), list(row["dists"])
-        if config.mode == "nearest":
-            p = lists[0]
-            greedy.projected[p] = greedy.projected.get(p, 0) + 1
-        else:
-            p = greedy.place(lists, dists)
-        d = dists[lists.index(p)]
+        p = greedy.place(lists, dists)
+        ids[i], places[i], dist[i] = row["doc_id"], p, dists[lists.index(p)]
         moved += p != lists[0]
-        ratios.append(d / dists[0] if dists[0] > 0 else 1.0)
-        placed.append((row["doc_id"], p, d))
-    out = recent.sparkSession.createDataFrame(pd.DataFrame(placed, columns=["doc_id", "list_id", "dist"]).astype({"doc_id": "int64", "list_id": "int32", "dist": "float64"}), "doc_id long, list_id int, dist double")
-    return Assignment(out, moved / max(1, delta), float(np.mean(ratios)) if ratios else 1.0, max(ratios, default=1.0), _ratio(sizes, model.nlist), _ratio(greedy.projected, model.nlist))
+        if dists[0] > 0:
+            ratios[i] = dist[i] / dists[0]
+    out = recent.sparkSession.createDataFrame(pd.DataFrame({"doc_id": ids, "list_id": places, "dist": dist}), "doc_id long, list_id int, dist double")
+    return Assignment(out, moved / max(1, delta), float(ratios.mean()) if delta else 1.0, float(ratios.max(initial=1.0)), before, _ratio(greedy.projected, model.nlist))
 
 
 def partition_stats(assigned: DataFrame, main: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -80,23 +80,36 @@ def slowest_queries(latencies: DataFrame, n: int = 5) -> DataFrame:
 # --- distributions -------------------------------------------------------
 
 
-def linear_percentile(value: str, q: float) -> Column:
-    """Exact percentile, interpolated between neighbours."""
-    return F.percentile(value, q)
+def percentiles(df: DataFrame, value: str, quantiles: list[float], rule: str = "linear", by: list[str] | None = None) -> DataFrame:
+    """One row a group: ``q0``, ``q1``, ... for the given quantiles.
 
-
-def floor_percentile(value: str, q: float) -> Column:
-    """The value at sorted position floor(q (n - 1)); for groups that fit a row."""
-    sorted_values = F.sort_array(F.collect_list(value))
-    return F.get(sorted_values, F.floor(F.lit(q) * (F.size(sorted_values) - 1)).cast("int"))
-
-
-def summary(df: DataFrame, value: str, rule: str = "linear", by: list[str] | None = None) -> DataFrame:
-    """n, mean, min, p50, p90, p95, p99, max by either percentile rule."""
+    Rule ``linear`` interpolates between the two values around position
+    q (n - 1) of the sorted values, ``floor`` takes the value at its floor.
+    Rows are counted per distinct value first, so what is sorted is values and
+    no list of rows is ever built.
+    """
     if rule not in ("linear", "floor"):
         raise InvalidArgument("rule must be linear or floor")
-    at = linear_percentile if rule == "linear" else floor_percentile
-    return df.groupBy(*(by or [])).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), *[at(value, q / 100).alias(f"p{q}") for q in (50, 90, 95, 99)], F.max(value).alias("max"))
+    keys = by or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    total = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+    counts = counts.join(total, keys) if keys else counts.crossJoin(F.broadcast(total))
+    upto = counts.withColumn("__upto", F.sum("__c").over(W.partitionBy(*keys).orderBy("__v")))
+    out = []
+    for i, q in enumerate(quantiles):
+        at = F.lit(q) * (F.col("__n") - 1)
+        low, high = (F.min(F.when(F.col("__upto") > f(at), F.col("__v"))) for f in (F.floor, F.ceil))
+        out.append((low if rule == "floor" else low + (high - low) * F.max(at - F.floor(at))).alias(f"q{i}"))
+    return upto.groupBy(*keys).agg(*out)
+
+
+def summary(df: DataFrame, value: str, rule: str = "linear", by: list[str] | None = None, quantiles: tuple[int, ...] = (50, 90, 95, 99)) -> DataFrame:
+    """n, mean, min, percentiles, max by either rule."""
+    keys = by or []
+    ranks = percentiles(df, value, [q / 100 for q in quantiles], rule, by)
+    basic = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    both = basic.join(ranks, keys, "left") if keys else basic.join(ranks, how="left")
+    return both.select(*keys, "n", "mean", "min", *[F.col(f"q{i}").alias(f"p{q}") for i, q in enumerate(quantiles)], "max")
 
 
 def imbalance(sizes: DataFrame, definition: str = "all", least_rows: int = 0) -> DataFrame:
@@ -119,7 +132,8 @@ def imbalance(sizes: DataFrame, definition: str = "all", least_rows: int = 0) ->
 
 
 def scan_stats(scanned: DataFrame, seen_rows: int, k: int) -> DataFrame:
-    return scanned.agg(F.avg("scanned").alias("scanned_avg"), F.percentile("scanned", 0.5).alias("scanned_p50"), F.percentile("scanned", 0.99).alias("scanned_p99"), F.max("scanned").alias("scanned_max"), (F.avg("scanned") / max(1, seen_rows)).alias("scan_ratio"), (F.avg("scanned") / k).alias("scanned_per_topk"))
+    s = summary(scanned, "scanned", quantiles=(50, 99))
+    return s.select(F.col("mean").alias("scanned_avg"), F.col("p50").alias("scanned_p50"), F.col("p99").alias("scanned_p99"), F.col("max").alias("scanned_max"), (F.col("mean") / max(1, seen_rows)).alias("scan_ratio"), (F.col("mean") / k).alias("scanned_per_topk"))
 
 
 def throughput(queries: int, seconds: float) -> float:
@@ -137,7 +151,7 @@ def latency_buckets(records: DataFrame, total_ms: float, width_ms: float = 200.0
     n = max(1, int(-(-total_ms // width_ms)))
     bucket = F.least(F.floor(F.col("completion_ms") / width_ms), F.lit(n - 1)).cast("int")
     length = F.when(F.col("bucket") == n - 1, F.lit((total_ms - (n - 1) * width_ms) / 1000)).otherwise(F.lit(width_ms / 1000))
-    out = records.withColumn("bucket", bucket).groupBy("bucket").agg(F.count("*").alias("n"), F.avg("latency_ms").alias("mean"), *[F.percentile("latency_ms", q / 100).alias(f"p{q}") for q in (50, 95, 99)], F.max("latency_ms").alias("max"))
+    out = summary(records.withColumn("bucket", bucket), "latency_ms", by=["bucket"], quantiles=(50, 95, 99)).drop("min")
     return out.withColumn("qps", F.when(length > 0, F.col("n") / length).otherwise(0.0))
 
 

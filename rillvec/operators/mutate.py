@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
+import pickle
 import threading
-from dataclasses import dataclass, field, replace
+from collections.abc import Iterator
+from dataclasses import dataclass, field, fields, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import AlreadyExists, FailedPrecondition, InvalidArgument, NotFound, Unavailable
 from .exact import matrix
-from .ivf import IvfModel, encode, encode_rows, postings_of
+from .ivf import IvfModel, encode, encode_rows, nearest, postings_of
 
 
 # --- validation ----------------------------------------------------------
@@ -90,16 +93,28 @@ class OnlineState:
 
 @dataclass(frozen=True)
 class BatchSums:
-    """Per subspace and word: rows, sum of sub-vectors, sum of errors; and the batch's mean error ratio."""
+    """Per subspace and word: rows, sum of sub-vectors, sum of errors; per subspace error and energy; the sum of rows' error ratios."""
 
     n: np.ndarray
     total: np.ndarray
     err: np.ndarray
     sub_err: np.ndarray
     sub_energy: np.ndarray
-    nqe: float
+    ratio_sum: float
     rows: int
 
+    @property
+    def nqe(self) -> float:
+        return self.ratio_sum / self.rows if self.rows else 0.0
+
+    def __add__(self, other: BatchSums) -> BatchSums:
+        return BatchSums(*(getattr(self, f.name) + getattr(other, f.name) for f in fields(self)))
+
+    @classmethod
+    def zero(cls, model: IvfModel) -> BatchSums:
+        m, words, _ = model.codebooks.shape
+        return cls(np.zeros((m, words), np.int64), np.zeros(model.codebooks.shape), np.zeros(model.codebooks.shape), np.zeros(m), np.zeros(m), 0.0, 0)
+
 
 def sums(x: np.ndarray, lists: np.ndarray, codes: np.ndarray | None, model: IvfModel, eps: float = 1e-6) -> BatchSums:
     """Sums of rows under their given codes, or under fresh ones."""
@@ -107,16 +122,39 @@ def sums(x: np.ndarray, lists: np.ndarray, codes: np.ndarray | None, model: IvfM
     m, words, width = book.shape
     fresh, err, energy = encode_rows(x, lists, model)
     r = x - model.centroids[lists] if model.residual else x
-    if codes is None:
-        codes = fresh
+    codes = fresh if codes is None else codes
     n, total, errs = np.zeros((m, words), np.int64), np.zeros(book.shape), np.zeros(book.shape)
     for j in range(m):
         sub = r[:, j * width : (j + 1) * width]
         n[j] = np.bincount(codes[:, j], minlength=words)
         np.add.at(total[j], codes[:, j], sub)
         np.add.at(errs[j], codes[:, j], sub - book[j][codes[:, j]])
-    nqe = float((err.sum(axis=1) / (energy.sum(axis=1) + eps)).mean()) if len(x) else 0.0
-    return BatchSums(n, total, errs, err.sum(axis=0), energy.sum(axis=0), nqe, len(x))
+    return BatchSums(n, total, errs, err.sum(axis=0), energy.sum(axis=0), float((err.sum(axis=1) / (energy.sum(axis=1) + eps)).sum()), len(x))
+
+
+def _sum_kernel(shared, coded: bool, eps: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: IvfModel = shared.value
+        out = BatchSums.zero(model)
+        for batch in batches:
+            if len(batch):
+                x = matrix(batch.column(0))
+                lists = batch.column(1).to_numpy().astype(np.int64) if coded else nearest(x, model.centroids)[0]
+                out = out + sums(x, lists, matrix(batch.column(2)).astype(np.int64) if coded else None, model, eps)
+        if out.rows:
+            yield pa.RecordBatch.from_arrays([pa.array([out.rows]), pa.array([pickle.dumps(tuple(getattr(out, f.name) for f in fields(out)))], pa.binary())], names=["rows", "sums"])
+
+    return run
+
+
+def batch_sums(rows: DataFrame, model: IvfModel, eps: float = 1e-6, coded: bool = False) -> BatchSums:
+    """Sums over a DataFrame of x, and of list_id and code if ``coded``: one partial sum a task, added in a fixed order."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    parts = rows.select(*(["x", "list_id", "code"] if coded else ["x"])).mapInArrow(_sum_kernel(shared, coded, eps), "rows long, sums binary").orderBy("rows", "sums").collect()
+    out = BatchSums.zero(model)
+    for p in parts:
+        out = out + BatchSums(*pickle.loads(bytes(p["sums"])))
+    return out
 
 
 def top_fraction(ratio: float, total: int) -> int:
@@ -175,12 +213,6 @@ class OnlineReport:
     deleted: int = 0
 
 
-def _local(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """A mini-batch's ids and vectors, by id; batches are small by definition."""
-    rows = df.select("doc_id", "x").orderBy("doc_id").toArrow()
-    return rows.column("doc_id").to_numpy(), matrix(rows.column("x"))
-
-
 def online_add(postings: DataFrame, batch: DataFrame, model: IvfModel, state: OnlineState, config: OnlineConfig, shard: str = "active", skip_once: bool = False, expired: DataFrame | None = None, vectors: DataFrame | None = None) -> tuple[DataFrame, IvfModel, OnlineState, OnlineReport]:
     """Add a mini-batch, and with ``expired`` (doc_id) delete in the same step.
 
@@ -195,16 +227,11 @@ def online_add(postings: DataFrame, batch: DataFrame, model: IvfModel, state: On
     if not model.is_pq or not model.residual:
         out = kept.unionByName(postings_of(encode(batch, model), shard))
         return out, model, replace(state, batch_no=state.batch_no + 1, generation=state.generation + 1), OnlineReport(batch.count(), 0.0, 1.0, 0.0, False, gone)
-    from .ivf import nearest
-
-    _, x = _local(batch)
-    lists = nearest(x, model.centroids)[0] if len(x) else np.empty(0, np.int64)
-    added = sums(x, lists, None, model, config.eps)
+    added = batch_sums(batch, model, config.eps)
     removed = None
     if expired is not None and vectors is not None and gone:
-        coded = postings.join(expired.select("doc_id"), "doc_id").join(vectors.select("doc_id", "x"), "doc_id").select("doc_id", "list_id", "code", "x").orderBy("doc_id").toArrow()
-        if len(coded):
-            removed = sums(matrix(coded.column("x")), coded.column("list_id").to_numpy().astype(np.int64), matrix(coded.column("code")).astype(np.int64), model, config.eps)
+        coded = postings.join(expired.select("doc_id"), "doc_id").join(vectors.select("doc_id", "x"), "doc_id")
+        removed = batch_sums(coded, model, config.eps, coded=True)
     state = error_state(state, added.nqe, config)
     n_new = np.maximum(0, state.counts + added.n - (removed.n if removed is not None else 0))
     drift, updated, changed = 0.0, may_update(state, config, skip_once), model

@@ -48,7 +48,7 @@ def dedupe(candidates: DataFrame) -> DataFrame:
 
 def rerank(candidates: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """Adds ``rerank``, the exact distance, by joining the vectors of the candidates only."""
-    rows = candidates.join(vectors.select("doc_id", "x"), "doc_id").join(F.broadcast(queries.select("query_id", "q")), "query_id")
+    rows = candidates.join(vectors.select("doc_id", "x"), "doc_id").join(queries.select("query_id", "q"), "query_id")
     return rows.withColumn("rerank", l2sq("q", "x")).drop("q", "x")
 
 
