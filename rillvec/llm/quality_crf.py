@@ -8,7 +8,9 @@ mean of its lines' marginals weighted by their length.
 Training is weakly supervised: every line of a labelled document carries the
 document's label.  It reads a bounded sample of the labelled rows: about
 ``SAMPLE`` documents of each label, chosen by hash, of at most ``TRAIN_LINES``
-lines; scoring reads every text whole.
+lines; scoring reads every text whole.  As the sample takes more of the rarer
+label than there is, scores are corrected for the two shares: the odds are
+multiplied by the labels' true ratio over the sample's.
 
 Edge cases: a null or empty text is one empty line; without labelled rows each
 score is 0.5; several labels of one document count as 1 if any is; repeated
@@ -118,7 +120,7 @@ class Crf:
 
     weights: np.ndarray
     moves: np.ndarray
-    base: float = 0.5
+    odds: float = 1.0
 
     def run(self, unary: np.ndarray, starts: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Marginals of the label good for all lines; if asked, expected counts of label pairs.
@@ -155,7 +157,8 @@ class Crf:
         x, size, starts = line_features(words, texts)
         good = self.run(x @ self.weights, starts)[0]
         weight = size + 1.0
-        return np.clip(np.add.reduceat(good * weight, starts[:-1]) / np.add.reduceat(weight, starts[:-1]), 0, 1)
+        mean = np.clip(np.add.reduceat(good * weight, starts[:-1]) / np.add.reduceat(weight, starts[:-1]), 0, 1)
+        return self.odds * mean / (self.odds * mean + 1 - mean)
 
 
 def train(x: np.ndarray, starts: np.ndarray, label: np.ndarray, steps: int = STEPS, decay: float = 1e-3) -> Crf:
@@ -198,7 +201,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf | None:
     if not rows:
         return None
     x = [np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH) for r in rows]
-    return train(np.concatenate(x), np.concatenate([[0], np.cumsum([len(a) for a in x])]), np.array([r["label"] for r in rows]))
+    label = np.array([r["label"] for r in rows])
+    crf = train(np.concatenate(x), np.concatenate([[0], np.cumsum([len(a) for a in x])]), label)
+    if counts.get(0) and counts.get(1) and 0 < label.sum() < len(label):
+        crf.odds = (counts[1] / counts[0]) / (label.sum() / (len(label) - label.sum()))
+    return crf
 
 
 def _score(shared):
