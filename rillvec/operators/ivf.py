@@ -430,3 +430,23 @@ class Searcher:
 
 def with_version(model: IvfModel, version: int) -> IvfModel:
     return replace(model, version=version)
+
+
+# --- introspection -------------------------------------------------------
+
+
+def doc_ids(postings: DataFrame) -> DataFrame:
+    return postings.select("doc_id")
+
+
+def code_of(postings: DataFrame, doc_id: int) -> DataFrame:
+    """list_id and code of one document."""
+    return postings.where(F.col("doc_id") == doc_id).select("list_id", "code")
+
+
+def records(postings: DataFrame, vectors: DataFrame, model: IvfModel, list_id: int | None = None) -> DataFrame:
+    """list_id, doc_id, x of a flat index, or of one of its lists; codes alone can't give vectors back."""
+    if model.is_pq:
+        raise FailedPrecondition("a PQ index holds codes, not vectors")
+    rows = postings if list_id is None else postings.where(F.col("list_id") == list_id)
+    return rows.select("list_id", "doc_id").join(vectors.select("doc_id", "x"), "doc_id")

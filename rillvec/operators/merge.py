@@ -152,7 +152,7 @@ def score_partitions(stats: DataFrame, config: MergeConfig) -> DataFrame:
 def list_order(postings: DataFrame, vectors: DataFrame, scored: DataFrame, model: IvfModel) -> DataFrame:
     """list_id, doc_id, position: by id, and in lists with ``recluster`` by (half, distance to its centre, id) of a local 2-means."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id", ignore_index=True)
         if bool(pdf["recluster"].iloc[0]) and len(pdf) > 1:
             x = np.stack(pdf["x"]).astype(np.float64)
@@ -202,7 +202,7 @@ def repartition_neighbourhoods(recent: DataFrame, assigned: DataFrame, main: Dat
     new = own.join(recent.select("doc_id", "x"), "doc_id").withColumn("recent", F.lit(1))
     pool = old.unionByName(new).join(F.broadcast(table), "list_id").select("hood", "recent", "doc_id", "x")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         centres, plan = shared.value
         lists = np.array(sorted(p for p, n in plan.items() if n == key[0]))
         pdf = pdf.sort_values(["recent", "doc_id"], ignore_index=True)

@@ -190,3 +190,19 @@ def memory_estimate(postings: DataFrame, dim: int, m: int, nlist: int, words: in
     return postings.agg(
         (n * (4 + 8 + m)).alias("postings"), (n * dim * 4).alias("vectors"), F.lit(nlist * dim * 8).cast("long").alias("centroids"), F.lit(words * dim * 8).cast("long").alias("codebooks")
     ).selectExpr("stack(4, 'postings', postings, 'vectors', vectors, 'centroids', centroids, 'codebooks', codebooks) as (structure, bytes)")
+
+
+def insert_lag(batches: DataFrame, vectors_per_second: float) -> DataFrame:
+    """batch, lag_ms: how far each batch ended behind the offered rate; batches have end_row and end_ms since the start."""
+    if vectors_per_second <= 0:
+        return batches.select("batch", F.lit(0.0).alias("lag_ms"))
+    first = batches.agg(F.min("begin_row").alias("__first"))
+    due = 1000.0 * (F.col("end_row") - F.col("__first")) / vectors_per_second
+    return batches.crossJoin(F.broadcast(first)).select("batch", F.greatest(F.lit(0.0), F.col("end_ms") - due).alias("lag_ms"))
+
+
+def counters(events: DataFrame) -> DataFrame:
+    """One row: totals of online batches (nqe, ratio, drift, updated, deleted, rows)."""
+    return events.agg(
+        F.count("*").alias("batches"), F.sum("rows").alias("rows"), F.sum("deleted").alias("deleted"), F.count_if("updated").alias("updates"), F.sum("nqe").alias("nqe_sum"), F.sum("ratio").alias("ratio_sum"), F.sum("drift").alias("drift_sum"), F.max("drift").alias("drift_max")
+    )

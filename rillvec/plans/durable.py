@@ -4,7 +4,7 @@
 session names in ``spark.checkpoint.dir`` and reads it back: lineage is cut,
 column pruning works on the copy, and the planner knows its size.  Only where
 no folder is named (tests, a laptop) a temporary one is made and removed at
-exit.
+exit.  ``release`` deletes the tables of a session once results are written.
 """
 
 from __future__ import annotations
@@ -17,13 +17,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def durable_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables of this session."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if named:
-        return str(named)
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    set_in_code = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_in_code.isDefined():
+        return set_in_code.get()
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="rillvec-")
@@ -36,4 +39,14 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{durable_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that ``durable`` wrote in this session; results that still read them must be written first."""
+    jvm, paths = spark.sparkContext._jvm, _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)

@@ -103,6 +103,17 @@ class Engine:
         self.main = self._train(self.rows(0, main_rows), "main", self.settings.ivf_nlist, ivf.MAIN_ITERATIONS)
         self.seen = self.rebuilt_main_rows = main_rows
 
+    def adopt(self, model: ivf.IvfModel, postings: DataFrame, space: Whitening | None) -> None:
+        """Start from a saved consolidated index instead of training one."""
+        if space is not None:
+            self.whitening = space
+            t = space.get(max(space.versions))
+            self.vectors = durable(t.apply(self.raw.select("doc_id", "x")), "space")
+            self.q = durable(t.apply(self.queries.select("query_id", "q"), "q"), "queries")
+        n = postings.count()
+        self.main = Shard("main", model, postings, mutate.OnlineState(np.zeros(model.codebooks.shape[:2] if model.is_pq else (0, 0), np.int64)), n)
+        self.seen = self.rebuilt_main_rows = n
+
     def ingest(self, end: int) -> None:
         """Rows up to ``end``: into the active shard, or waiting for the next one."""
         begin, self.seen = self.seen, max(self.seen, end)
@@ -249,7 +260,8 @@ class Engine:
     def run(self, total: int | None = None) -> Engine:
         """The whole stream: bootstrap, batches, snapshots, and a final evaluation."""
         total = self.raw.count() if total is None else total
-        self.bootstrap(self.settings.main_rows(total))
+        if self.main is None:
+            self.bootstrap(self.settings.main_rows(total))
         begin = self.seen
         self.evaluate("initial", begin)
         size, snapshot = self.settings.batch_rows(), self.settings.snapshot_interval

@@ -97,6 +97,24 @@ def load_prebuilt(spark: SparkSession, path: str, **expected) -> tuple[IvfModel,
     return model, postings, load_whitening(spark, f"{path}/whitening") if facts["whitening"] else None
 
 
+def save_init(path: str, main: tuple[IvfModel, DataFrame], whitening: Whitening | None = None, active: tuple[IvfModel, DataFrame] | None = None, **facts) -> None:
+    """Where a concurrent run starts: transform, consolidated index, and an active one if there is any."""
+    spark = main[1].sparkSession
+    save_index(f"{path}/main", *main)
+    if whitening is not None:
+        save_whitening(spark, f"{path}/whitening", whitening)
+    if active is not None:
+        save_index(f"{path}/active", *active)
+    _manifest(spark, path, "init", dim=main[0].dim, whitening=whitening is not None, active=active is not None, **facts)
+
+
+def load_init(spark: SparkSession, path: str, **expected) -> tuple[tuple[IvfModel, DataFrame], Whitening | None, tuple[IvfModel, DataFrame] | None]:
+    facts = manifest(spark, path, "init")
+    require(facts, **expected)
+    active = load_index(spark, f"{path}/active")[:2] if facts["active"] else None
+    return load_index(spark, f"{path}/main")[:2], load_whitening(spark, f"{path}/whitening") if facts["whitening"] else None, active
+
+
 def save_truth(path: str, truth: DataFrame, queries: int, k: int, initial: int, batch: int) -> None:
     """Ground truth (frontier, query_id, rank, doc_id) of a stream's frontiers."""
     truth.select("frontier", "query_id", "rank", "doc_id").write.mode("overwrite").parquet(f"{path}/truth")
