@@ -139,32 +139,44 @@ def _search(levels: list[int], threshold: float, miss: float, key_bits, shingle_
                 if not hit_doc:
                     continue
                 doc, key = np.concatenate(hit_doc), np.concatenate(hit_key)
-                ids, keys, sets = [], [], []
+                rows, keys, sets = [], [], []
                 for i in np.unique(doc):
                     own = s[so[i] : so[i + 1]]
                     own = np.unique(own[in_shingles[_place(own, bits)]])
                     if len(own):
-                        ids.append(part.column(0)[int(i)].as_py())
+                        rows.append(int(i))
                         keys.append(np.unique(key[doc == i]).view(np.int64))
                         sets.append(own.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "keys", "found"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), part.column(2).take(pa.array(rows, pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "keys", "found"])
 
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, bits: int = BITS) -> DataFrame:
-    """doc_id, item_id, n_shared, n_item, containment of all pairs with a containment of the threshold or more."""
+_HIT = "doc_id long, text_hash long, keys array<long>, found array<long>"
+_PAIR = "doc_id long, text_hash long, item_id long, n_shared int, n_item int, containment double"
+
+
+def _pairs(docs: DataFrame, items: DataFrame, threshold: float, miss: float, bits: int) -> DataFrame:
+    """The pairs of ``contaminated``, with the hash of the document's text."""
     spark = docs.sparkSession
     index = durable(index_items(items, threshold, miss), "bench-index")
     levels = sorted(r[0] for r in index.select("level").distinct().collect())
     if not levels:
-        return spark.createDataFrame([], "doc_id long, item_id long, n_shared int, n_item int, containment double")
+        return spark.createDataFrame([], _PAIR)
     packed = [spark.sparkContext.broadcast(np.packbits(_bits(index.select(F.explode(c).alias("x")), bits)).tobytes()) for c in ("keys", "shingles")]
-    hits = durable(pinned(docs, "doc_id", "text").mapInArrow(_search(levels, threshold, miss, *packed, bits), "doc_id long, keys array<long>, found array<long>").withColumn("row", F.monotonically_increasing_id()), "bench-hits")
-    pairs = hits.select("row", F.explode("keys").alias("key")).join(index.select("item_id", F.xxhash64("shingles").alias("print"), F.explode("keys").alias("key")), "key").select("row", "item_id", "print").distinct()
-    both = pairs.join(hits.select("row", "doc_id", "found"), "row").join(index.select(F.col("item_id").alias("item"), F.xxhash64("shingles").alias("p"), "shingles"), F.col("item_id").eqNullSafe(F.col("item")) & (F.col("print") == F.col("p")))
+    texts = pinned(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text"))
+    hits = durable(texts.mapInArrow(_search(levels, threshold, miss, *packed, bits), _HIT).withColumn("row", F.monotonically_increasing_id()), "bench-hits")
+    sets = index.select("item_id", F.xxhash64("shingles").alias("print"), "shingles", "keys")
+    pairs = hits.select("row", F.explode("keys").alias("key")).join(sets.select("item_id", "print", F.explode("keys").alias("key")), "key").select("row", "item_id", "print").distinct()
+    own = sets.select(F.col("item_id").alias("item"), F.col("print").alias("p"), "shingles").dropDuplicates(["item", "p"])
+    both = pairs.join(hits.select("row", "doc_id", "text_hash", "found"), "row").join(own, F.col("item_id").eqNullSafe(F.col("item")) & (F.col("print") == F.col("p")))
     shared, size = F.size(F.array_intersect("found", "shingles")), F.size("shingles")
-    return both.select("doc_id", "item_id", shared.alias("n_shared"), size.alias("n_item"), (shared / size).alias("containment")).where(F.col("containment") >= threshold)
+    return both.select("doc_id", "text_hash", "item_id", shared.alias("n_shared"), size.alias("n_item"), (shared / size).alias("containment")).where(F.col("containment") >= threshold)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, bits: int = BITS) -> DataFrame:
+    """doc_id, item_id, n_shared, n_item, containment of all pairs with a containment of the threshold or more."""
+    return _pairs(docs, items, threshold, miss, bits).drop("text_hash")
 
 
 def _bits(values: DataFrame, bits: int) -> np.ndarray:
@@ -178,6 +190,6 @@ def _bits(values: DataFrame, bits: int) -> np.ndarray:
 
 
 def remove(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that contain no item, with all their columns."""
-    bad = contaminated(docs, items, threshold).select("doc_id").distinct().withColumnRenamed("doc_id", "__bad")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+    """The documents that contain no item, with all their columns; rows without an id, or with an id that others share, are told apart by their text."""
+    bad = _pairs(docs, items, threshold, MISS, BITS).select(F.col("doc_id").alias("__bad"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_anti")
