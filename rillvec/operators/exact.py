@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
 from ..functions.vectors import l2sq
+from ..plans.shared import share
 
 #: Queries that one pass over the base takes; 4096 of 128 doubles are 4 MB.
 QUERY_BLOCK = 4096
@@ -113,7 +114,7 @@ def _candidates(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     spark = rows.sparkSession
     found = spark.createDataFrame([], _FOUND)
     for block in query_blocks(queries):
-        found = found.unionAll(rows.mapInArrow(_scan(spark.sparkContext.broadcast(block), k), _FOUND))
+        found = found.unionAll(rows.mapInArrow(_scan(share(spark, block), k), _FOUND))
     return found
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..errors import FailedPrecondition, InvalidArgument
 from ..functions.vectors import l2sq
+from ..plans.shared import share
 from .exact import fast_sqdist, matrix, query_blocks, top_k
 
 MAIN_ITERATIONS, DELTA_ITERATIONS = 20, 10
@@ -94,7 +95,7 @@ def _assign(shared):
 
 def assign(base: DataFrame, centroids: np.ndarray) -> DataFrame:
     """doc_id, list_id, dist by an Arrow kernel; no shuffle."""
-    shared = base.sparkSession.sparkContext.broadcast(np.asarray(centroids, dtype=np.float64))
+    shared = share(base.sparkSession, np.asarray(centroids, dtype=np.float64))
     return base.select("doc_id", "x").mapInArrow(_assign(shared), "doc_id long, list_id int, dist double")
 
 
@@ -141,7 +142,7 @@ def kmeans(base: DataFrame, k: int, iterations: int = MAIN_ITERATIONS, seed: int
     centres = initial_rows(base, k, seed) if start is None else np.asarray(start, dtype=np.float64).copy()
     rows = base.select("x")
     for step in range(iterations):
-        shared = base.sparkSession.sparkContext.broadcast(centres)
+        shared = share(base.sparkSession, centres)
         parts = rows.mapInArrow(_sums(shared), "cid int, n long, total array<double>").orderBy("cid", "n", "total").collect()
         shared.unpersist()
         total, n = np.zeros_like(centres), np.zeros(len(centres), np.int64)
@@ -235,7 +236,7 @@ def encode(base: DataFrame, model: IvfModel, lists: DataFrame | None = None) ->
     ``lists`` (doc_id, list_id) fixes the lists, as a merge does; else each row
     goes to its nearest.  A flat index has null codes.
     """
-    shared = base.sparkSession.sparkContext.broadcast(model)
+    shared = share(base.sparkSession, model)
     rows = base.select("doc_id", "x") if lists is None else base.select("doc_id", "x").join(lists.select("doc_id", "list_id"), "doc_id").select("doc_id", "x", "list_id")
     return rows.mapInArrow(_encode(shared, lists is not None), _POSTING + ", err double, energy double")
 
@@ -365,7 +366,7 @@ def adc_candidates(model: IvfModel, postings: DataFrame, queries: DataFrame, k:
         order = np.argsort(d, axis=1, kind="stable")[:, :n]
         chosen = np.zeros((len(q), model.nlist), dtype=bool)
         np.put_along_axis(chosen, order, True, axis=1)
-        shared = postings.sparkSession.sparkContext.broadcast((model, ids, q, chosen))
+        shared = share(postings.sparkSession, (model, ids, q, chosen))
         touched = [int(x) for x in np.flatnonzero(chosen.any(axis=0))]
         rows = postings.select("list_id", "doc_id", "code") if len(touched) > 1000 else postings.where(F.col("list_id").isin(touched)).select("list_id", "doc_id", "code")
         part = rows.mapInArrow(_adc(shared, k, precomputed, trace), "query_id long, doc_id long, list_id int, approx double")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import AlreadyExists, InvalidArgument, Unavailable
+from ..plans.shared import share
 from .exact import fast_sqdist, matrix
 from .ivf import IvfModel, assign, encode, partition_sizes, postings_of
 
@@ -59,7 +60,7 @@ def _near_lists(shared, r: int):
 
 def near_lists(rows: DataFrame, centroids: np.ndarray, r: int) -> DataFrame:
     """doc_id, lists, dists: the r nearest lists of every row, by (distance, list)."""
-    shared = rows.sparkSession.sparkContext.broadcast(centroids)
+    shared = share(rows.sparkSession, centroids)
     return rows.select("doc_id", "x").mapInArrow(_near_lists(shared, r), "doc_id long, lists array<int>, dists array<double>")
 
 
@@ -196,7 +197,7 @@ def repartition_neighbourhoods(recent: DataFrame, assigned: DataFrame, main: Dat
     own = assigned.select("doc_id", "list_id")
     inserts = {r["list_id"]: r["n"] for r in own.groupBy("list_id").agg(F.count("*").alias("n")).collect()}
     plan = plan_neighbourhoods(model.centroids, inserts, config.top_r)
-    shared = recent.sparkSession.sparkContext.broadcast((model.centroids, plan))
+    shared = share(recent.sparkSession, (model.centroids, plan))
     table = recent.sparkSession.createDataFrame([(p, n) for p, n in plan.items()], "list_id int, hood int")
     old = main.select("doc_id", "list_id").join(vectors.select("doc_id", "x"), "doc_id").withColumn("recent", F.lit(0))
     new = own.join(recent.select("doc_id", "x"), "doc_id").withColumn("recent", F.lit(1))

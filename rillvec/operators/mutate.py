@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import AlreadyExists, FailedPrecondition, InvalidArgument, NotFound, Unavailable
+from ..plans.shared import share
 from .exact import matrix
 from .ivf import IvfModel, encode, encode_rows, nearest, postings_of
 
@@ -149,7 +150,7 @@ def _sum_kernel(shared, coded: bool, eps: float):
 
 def batch_sums(rows: DataFrame, model: IvfModel, eps: float = 1e-6, coded: bool = False) -> BatchSums:
     """Sums over a DataFrame of x, and of list_id and code if ``coded``: one partial sum a task, added in a fixed order."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = share(rows.sparkSession, model)
     parts = rows.select(*(["x", "list_id", "code"] if coded else ["x"])).mapInArrow(_sum_kernel(shared, coded, eps), "rows long, sums binary").orderBy("rows", "sums").collect()
     out = BatchSums.zero(model)
     for p in parts:

@@ -1,6 +1,9 @@
 """Concurrent service, command line, saved starts, introspection, and plans."""
 
 import json
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -87,3 +90,17 @@ def test_plans(spark):
     assert "LessThan(vec_id,100)" in p
     table = durable.durable(rows)
     assert table.count() == 500 and durable.release(spark) >= 1
+
+
+def test_executors_need_not_import_the_package(tmp_path):
+    """A session started elsewhere, with the package on the driver's path alone."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from rillvec import catalog
+print("rows", catalog.QUERIES["adc_search"](spark, {SF!r}).count())
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=240)
+    assert "rows 50" in out.stdout, out.stderr[-2000:]
