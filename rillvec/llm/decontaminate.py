@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillvec.plans.shared import share
+
 from ._native import durable, pinned
 from ._words import U, Words, mix, parts, shingles
 
@@ -163,7 +165,7 @@ def _pairs(docs: DataFrame, items: DataFrame, threshold: float, miss: float, bit
     levels = sorted(r[0] for r in index.select("level").distinct().collect())
     if not levels:
         return spark.createDataFrame([], _PAIR)
-    packed = [spark.sparkContext.broadcast(np.packbits(_bits(index.select(F.explode(c).alias("x")), bits)).tobytes()) for c in ("keys", "shingles")]
+    packed = [share(spark, np.packbits(_bits(index.select(F.explode(c).alias("x")), bits)).tobytes()) for c in ("keys", "shingles")]
     texts = pinned(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text"))
     hits = durable(texts.mapInArrow(_search(levels, threshold, miss, *packed, bits), _HIT).withColumn("row", F.monotonically_increasing_id()), "bench-hits")
     sets = index.select("item_id", F.xxhash64("shingles").alias("print"), "shingles", "keys")

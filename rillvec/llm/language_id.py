@@ -30,6 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillvec.plans.shared import share
+
 from ._native import pinned
 from ._words import U, mix, parts, utf8
 
@@ -163,7 +165,7 @@ def _predict(shared):
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, held_out, lang_pred, score; ``docs`` has doc_id, text and held_out."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    shared = share(docs.sparkSession, filters)
     return pinned(docs, "doc_id", "text", "held_out").mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 

@@ -33,6 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillvec.plans.shared import share
+
 from ._native import pinned
 from ._words import U, Words, mix, parts
 
@@ -209,7 +211,7 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
             one[:, row["key"]] = row["t"], row["b"]
         else:
             two[:, np.searchsorted(hot, np.uint32(row["key"]))] = row["t"], row["b"]
-    shared = spark.sparkContext.broadcast(Model(one, hot, two))
+    shared = share(spark, Model(one, hot, two))
 
     partitions = int(min(1 << 16, max(1, one[1, 1:].sum() // TOKENS_PER_PARTITION)))
     cells = texts.mapInArrow(_cells(False, partitions, shared), _CELL).unionAll(own.mapInArrow(_cells(True, partitions, shared), _CELL))

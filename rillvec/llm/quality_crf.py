@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillvec.plans.shared import share
+
 from ._native import pinned
 from ._words import U, Words, parts, utf8
 from .language_id import held_out
@@ -223,5 +225,5 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """doc_id, held_out, score, predicted of every row; held-out rows lend no label."""
     rows = pinned(docs, "doc_id", "text").withColumn("held_out", held_out())
     crf = fit(rows, pinned(labels, "doc_id", "quality").where(~held_out()), sample)
-    shared = docs.sparkSession.sparkContext.broadcast(crf)
+    shared = share(docs.sparkSession, crf)
     return rows.mapInArrow(_score(shared), "doc_id long, held_out boolean, score double, predicted int")
