@@ -249,14 +249,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
         comp = components(links.union(more))
 
     label = durable(nodes.select("node", "least").join(comp, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp")), "dedup-comp")
-    named = label.join(label.groupBy("comp").agg(F.min("least").alias("class_id")), "comp").select("node", "class_id")
+    first = durable(label.groupBy("comp").agg(F.min("least").alias("class_id")), "dedup-first")
+    named = label.join(first, "comp").select("node", "class_id")
     return signed.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, that of its least doc_id, with all columns of ``docs``.
 
-    Rows with a null doc_id stay.  Of rows that repeat the kept id one stays.
+    Rows with a null doc_id stay.  Rows that share an id count as one document,
+    of which one row stays.
     """
     kept = classes(docs, threshold).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__kept")).distinct()
     joined = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
