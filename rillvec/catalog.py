@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vectors as vec
-from .operators import exact, ivf, merge, metrics, mutate, routes, whitening
-from .plans import harness
+from .operators import exact, ivf, merge, metrics, mutate, routes, triggers, whitening
+from .plans import concurrent, harness
 from .plans.durable import durable
 from .streaming import ingest
 
@@ -540,6 +540,112 @@ def memory_estimate(spark, d):
     return metrics.memory_estimate(postings(spark, d, pq_model(spark, d)), 64, M, NLIST, WORDS)
 
 
+@query("near_lists", _with(V, C, tail=f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {_l2('x', 'c')}, list_id) AS INTEGER) AS rank, list_id, round({_l2('x', 'c')}, 6) AS dist FROM v, c QUALIFY rank <= 4"))
+def near_lists(spark, d):
+    """The four nearest lists of every row: the candidates of a balanced merge."""
+    near = merge.near_lists(base(spark, d), flat_model(spark, d).centroids, 4)
+    rows = near.select("doc_id", F.posexplode(F.arrays_zip("lists", "dists")).alias("place", "l"))
+    return rows.select("doc_id", (F.col("place") + 1).alias("rank"), F.col("l.lists").alias("list_id"), F.round("l.dists", 6).alias("dist"))
+
+
+@query("list_neighbours", _with(V, C, "o AS (SELECT list_id AS neighbour, c AS n FROM c)", tail=f"SELECT list_id, neighbour, round({_l2('c', 'n')}, 6) AS dist, CAST(row_number() OVER (PARTITION BY list_id ORDER BY {_l2('c', 'n')}, neighbour <> list_id, neighbour) AS INTEGER) AS rank FROM c, o QUALIFY rank <= 4"))
+def list_neighbours(spark, d):
+    return _rounded(merge.list_neighbours(flat_model(spark, d).centroid_table(spark), 4), "dist")
+
+
+@query("code_reuse", _with(V, C, A, tail="SELECT count(*) FILTER (label < 5 AND list_id % 2 = 0) AS reused, count(*) FILTER (label >= 5 OR list_id % 2 = 1) AS encoded FROM a JOIN v USING (doc_id)"))
+def code_reuse(spark, d):
+    """Codes that a merge keeps: rows that held one and stay in their list; here odd lists all move up by two."""
+    model = pq_model(spark, d)
+    labels = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "label")
+    held = postings(spark, d, model).join(labels, "doc_id")
+    moved = F.when(F.col("list_id") % 2 == 1, (F.col("list_id") + 2) % NLIST).otherwise(F.col("list_id")).cast("int")
+    _, counts = merge.finalize_codes(held.select("doc_id", moved.alias("list_id")), held.where("label < 5").select("shard", "list_id", "doc_id", "code"), base(spark, d), model)
+    return counts
+
+
+@query("fresh_codes_after_merge", _with(V, tail="SELECT doc_id, true AS same FROM v"))
+def fresh_codes_after_merge(spark, d):
+    """After a merge, every row's code is what encoding it anew would give."""
+    model, rows = pq_model(spark, d), durable(base(spark, d), "rows")
+    labels = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "label")
+    held = postings(spark, d, model).join(labels, "doc_id")
+    main = durable(held.where("label < 5").select("shard", "list_id", "doc_id", "code"), "main")
+    out, _ = merge.merge(main, held.where("label >= 5").select("doc_id"), rows, model, merge.MergeConfig(gamma=1.2))
+    out = durable(out, "merged")
+    again = ivf.encode(rows, model, out).select("doc_id", F.col("code").alias("anew"))
+    return out.join(again, "doc_id").select("doc_id", (F.col("code") == F.col("anew")).alias("same"))
+
+
+@query("slowest_queries", _with(_LOG, tail="SELECT query_id, latency_ms FROM l ORDER BY latency_ms DESC, query_id LIMIT 5"))
+def slowest_queries(spark, d):
+    return metrics.slowest_queries(_records(spark, d)).select("query_id", "latency_ms")
+
+
+@query("insert_lag", _with(_BATCHES, tail="SELECT batch, greatest(0, end_ms - 1000.0 * end_row / 0.2) AS lag_ms FROM b"))
+def insert_lag(spark, d):
+    return metrics.insert_lag(_batches(spark).withColumn("begin_row", F.col("end_row") - 1000), 0.2)
+
+
+@query("update_throughput", _with("b AS (SELECT label, count(*) AS rows, 1.0 + label AS update_s, 2.0 AS maintenance_s FROM embeddings GROUP BY label)", tail="SELECT round(sum(rows) / sum(update_s), 6) AS update_vps, round(sum(rows) / sum(update_s + maintenance_s), 6) AS amortised_vps FROM b"))
+def update_throughput(spark, d):
+    b = spark.read.parquet(f"{d}/embeddings.parquet").groupBy("label").agg(F.count("*").alias("rows")).select("rows", (1.0 + F.col("label")).alias("update_s"), F.lit(2.0).alias("maintenance_s"))
+    return _rounded(metrics.update_throughput(b), "update_vps", "amortised_vps")
+
+
+@query("merge_triggers", """
+WITH s AS (SELECT label, count(*) AS rows, count(*) / 100.0 AS share, avg(embedding[1]) AS drift FROM embeddings GROUP BY label)
+SELECT label, rows >= 50 OR share >= 0.55 AS fires, CASE WHEN rows >= 50 AND share >= 0.55 THEN 'delta_full+delta_main_ratio' WHEN rows >= 50 THEN 'delta_full' WHEN share >= 0.55 THEN 'delta_main_ratio' ELSE 'none' END AS reason FROM s""")
+def merge_triggers(spark, d):
+    """Would a delta of each label's rows be merged into a main index of a hundred?"""
+    trigger = triggers.MergeTrigger("hybrid", rows=50, train_rows=10, delta_main_ratio=0.55)
+    counts = spark.read.parquet(f"{d}/embeddings.parquet").groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()
+    made = [(r["label"], *(lambda x: (x.fires, x.reason))(trigger.decide(r["n"], 100))) for r in counts]
+    return spark.createDataFrame(made, "label int, fires boolean, reason string")
+
+
+@query("transform_by_columns", _with(V, tail="SELECT doc_id, CAST(0 AS DOUBLE) AS gap FROM v"))
+def transform_by_columns(spark, d):
+    """The linear transform by array expressions, against the kernel: the largest gap of a row, to six digits."""
+    w = whitening.Whitening()
+    t = w.get(w.fit(base(spark, d)))
+    matrix = F.array(*[F.array(*map(F.lit, map(float, row))) for row in t.matrix])
+    mean = F.array(*map(F.lit, map(float, t.mean)))
+    by_columns = base(spark, d).select("doc_id", vec.affine(matrix, "x", mean).alias("a"))
+    gap = F.array_max(F.zip_with("a", "x", lambda a, b: F.abs(a - b)))
+    return by_columns.join(t.apply(base(spark, d)), "doc_id").select("doc_id", F.round(gap, 6).alias("gap"))
+
+
+@query("retarget", _with(V, tail="SELECT doc_id, CAST(0 AS DOUBLE) AS gap FROM v"))
+def retarget(spark, d):
+    """Rows taken from one version's space to another's are where the other version puts them."""
+    w, rows = whitening.Whitening(), base(spark, d)
+    a, b = w.get(w.fit(rows)), w.get(w.fit(rows.withColumn("x", F.transform("x", lambda v, i: v * (i + 1)))))
+    moved = whitening.retarget(a.apply(rows), a, b).select("doc_id", F.col("x").alias("y"))
+    gap = F.array_max(F.zip_with("x", "y", lambda p, q: F.abs(p - q)))
+    return b.apply(rows).join(moved, "doc_id").select("doc_id", F.round(gap, 5).alias("gap"))
+
+
+@query("hits_and_misses", _with(V, Q, E, C, A, P, S, T, _HIT, tail="SELECT query_id, doc_id, CASE WHEN hit THEN 'hit' ELSE 'miss' END AS kind FROM h"))
+def hits_and_misses(spark, d):
+    """Truth rows that a search found (semi-join) and those it missed (anti-join)."""
+    truth, found = _truth_and_found(spark, d)
+    keys = ["query_id", "doc_id"]
+    hit = truth.join(found, keys, "left_semi").select(*keys, F.lit("hit").alias("kind"))
+    return hit.unionAll(truth.join(found, keys, "left_anti").select(*keys, F.lit("miss").alias("kind")))
+
+
+@query("partial_update", _with(V, C, A, Z, R, N, "s AS (SELECT m, sum(err) AS e, sum(energy) AS g FROM n GROUP BY m)", tail=f"SELECT CAST(m AS INTEGER) AS m, row_number() OVER (ORDER BY e / (g + 1e-6) DESC, m) <= {M // 4} AS moved FROM s"))
+def partial_update(spark, d):
+    """Which subspaces an update by the worst quarter of them moves."""
+    model = pq_model(spark, d)
+    added = mutate.batch_sums(base(spark, d), model)
+    state = mutate.OnlineState(np.full((M, WORDS), 10))
+    z, _, _ = mutate.update_codebooks(model, state, added, None, mutate.OnlineConfig(top_alpha=0.25))
+    moved = np.abs(z - model.codebooks).sum(axis=(1, 2)) > 0
+    return spark.createDataFrame([(m, bool(moved[m])) for m in range(M)], "m int, moved boolean")
+
+
 # --- whole runs ----------------------------------------------------------
 
 
@@ -555,6 +661,15 @@ def workload_run(spark, d):
     return harness.workload_demo(spark, base(spark, d), query_rows(spark, d))
 
 
+@query("service_run")
+def service_run(spark, d):
+    """Queries, inserts and merges at the same time; recall of each query batch by the version it saw."""
+    rows = durable(base(spark, d), "raw")
+    settings = harness.demo_settings(rows.count(), concurrent_workload_enable=True, concurrent_query_workers=2)
+    service = concurrent.Service(harness.Engine(spark, rows, query_rows(spark, d), settings)).run(rows.count())
+    return service.recall("completed").groupBy("version").agg(F.count("*").alias("queries"), F.avg("recall").alias("recall"))
+
+
 @query("stream_ingest", _with(V, C, A, tail="SELECT doc_id, list_id FROM a"))
 def stream_ingest(spark, d):
     """Structured Streaming: every file of vectors is assigned and published exactly once."""

@@ -15,9 +15,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import AlreadyExists, InvalidArgument, Unavailable
+from ..functions.vectors import l2sq
 from ..plans.shared import share
 from .exact import fast_sqdist, matrix
 from .ivf import IvfModel, assign, encode, partition_sizes, postings_of
@@ -172,6 +174,17 @@ def list_order(postings: DataFrame, vectors: DataFrame, scored: DataFrame, model
     return rows.groupBy("list_id").applyInPandas(run, "list_id int, doc_id long, position long")
 
 
+def list_neighbours(centroids: DataFrame, r: int) -> DataFrame:
+    """list_id, neighbour, dist, rank of the r nearest lists of every list, itself among them at distance 0.
+
+    ``centroids`` (list_id, c) is a model's table: a few thousand rows.
+    """
+    other = centroids.select(F.col("list_id").alias("neighbour"), F.col("c").alias("n"))
+    pairs = centroids.crossJoin(F.broadcast(other)).select("list_id", "neighbour", l2sq("c", "n").alias("dist"))
+    order = W.partitionBy("list_id").orderBy("dist", F.col("neighbour") != F.col("list_id"), "neighbour")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= r)
+
+
 def plan_neighbourhoods(centroids: np.ndarray, inserts: dict[int, int], top_r: int) -> dict[int, int]:
     """list to neighbourhood: seeds by number of inserts, each takes its top_r nearest lists that are still free, itself among them."""
     d = fast_sqdist(centroids, centroids)
