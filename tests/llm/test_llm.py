@@ -549,3 +549,15 @@ def test_sql_of_registered_queries(spark):
         assert cols == sorted(want.columns)
         text = lambda f: sorted(tuple(repr(round(v, 9)) if isinstance(v, float) else "-" if v is None or v is pd.NA else str(v) for v in row) for row in f[cols].itertuples(index=False))
         assert text(got) == text(want), name
+
+
+@pytest.mark.parametrize("name", ["op3_secret_scan", "op8_url_filter", "op9_mixing", "op10_quality_rules"])
+def test_native_queries_run_no_python(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_signing_and_searching_need_no_shuffle(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = near_dedup.sign(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
