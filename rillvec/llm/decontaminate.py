@@ -193,5 +193,6 @@ def _bits(values: DataFrame, bits: int) -> np.ndarray:
 
 def remove(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that contain no item, with all their columns; rows without an id, or with an id that others share, are told apart by their text."""
-    bad = _pairs(docs, items, threshold, MISS, BITS).select(F.col("doc_id").alias("__bad"), F.col("text_hash").alias("__hash")).distinct()
+    # A table of its own: where it is small the planner, which then knows its size, does not shuffle the texts.
+    bad = durable(_pairs(docs, items, threshold, MISS, BITS).select(F.col("doc_id").alias("__bad"), F.col("text_hash").alias("__hash")).distinct(), "bench-bad")
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_anti")
