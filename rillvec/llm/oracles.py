@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, secret_scan, url_filter
+from . import decontaminate, mixing, near_dedup, secret_scan, url_filter
 from ._native import WORD
 
 _BACK = "chr(92)"
@@ -131,8 +131,39 @@ bad AS (SELECT host FROM {last} WHERE b > t AND b > {url_filter.LEVEL} * (SELECT
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM q"""
 
 
+_LOWER_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_\\x{80}-\\x{10FFFF}]+')"
+
+
+def _shingled(table: str, key: str) -> str:
+    """Distinct five-word shingles of each row of a table."""
+    return f"SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT {key}, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT {key}, {_LOWER_WORDS} AS w FROM {table}) WHERE len(w) >= 5)"
+
+
+LEAKS = f"""
+WITH d AS ({_shingled("documents", "doc_id")}),
+b AS ({_shingled("benchmark", "item_id")}),
+n AS (SELECT item_id, CAST(count(*) AS INTEGER) AS n_item FROM b GROUP BY item_id),
+p AS (SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS n_shared FROM d JOIN b USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM p JOIN n USING (item_id) WHERE n_shared >= {decontaminate.THRESHOLD} * n_item
+"""
+
+NEAR = f"""
+WITH RECURSIVE w AS (SELECT doc_id, text, {_LOWER_WORDS} AS w FROM documents),
+one AS (SELECT min(doc_id) AS node, w FROM w WHERE len(w) > 0 GROUP BY w),
+sh AS (SELECT DISTINCT node, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT node, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM one)),
+n AS (SELECT node, count(*) AS n FROM sh GROUP BY node),
+e AS (SELECT a, b FROM (SELECT x.node AS a, y.node AS b, count(*) AS i FROM sh x JOIN sh y ON x.s = y.s AND x.node < y.node GROUP BY x.node, y.node) JOIN n p ON p.node = a JOIN n q ON q.node = b WHERE i >= {near_dedup.THRESHOLD} * (p.n + q.n - i)),
+ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT node, node AS low FROM one UNION SELECT ways.b, reach.low FROM reach JOIN ways ON ways.a = reach.node WHERE reach.low < ways.b),
+comp AS (SELECT node, min(low) AS class_id FROM reach GROUP BY node)
+SELECT doc_id, CASE WHEN len(w) > 0 THEN class_id WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS class_id
+FROM w LEFT JOIN one USING (w) LEFT JOIN comp USING (node)
+"""
+
 ORACLES = {
+    "op1_near_dedup": NEAR,
     "op3_secret_scan": SECRETS,
+    "op4_decontamination": LEAKS,
     "op6_chat_format": CHAT,
     "op8_url_filter": _urls(),
     "op9_mixing": MIX,

@@ -541,7 +541,7 @@ def test_pipeline_stages_match_brute_force(spark):
 
 def test_sql_of_registered_queries(spark):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "pages"):
+    for t in ("documents", "conversations", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, sql in queries.ORACLES.items():
         got, want = queries.QUERIES[name](spark, SF).toPandas(), con.execute(sql).df()
