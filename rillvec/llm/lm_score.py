@@ -1,21 +1,26 @@
 """Cross-entropy difference of a target and a background n-gram model.
 
-Both models are bigram models of words with the same vocabulary (words hashed
-to 65,535 classes, class 0 is the start of a text), the same smoothing and the
-same prior: p(w|h) = (c(hw) + K p(w)) / (c(h) + K), p(w) = (c(w) + 1/2) / (N + V/2).
+Both models are bigram models of words (full 64-bit word hashes, 0 is the
+start of a text) with the same vocabulary, the same smoothing and the same
+prior: p(w|h) = (c(hw) + K p(w)) / (c(h) + K), p(w) = (c(w) + 1/2) / (N + V/2).
+V is the number of distinct words of both corpora, counted exactly, and never
+less than ``CLASSES``: a small corpus leaves room for words not seen.
 The background is the whole corpus to be scored, the target any other table of
 texts.  A document's score is the mean over its tokens of the target's loss
 minus the background's, in bits: low means more like the target.
 
-Class counts are dense arrays of fixed size and are broadcast.  Bigram counts
-grow with the corpus and are never gathered anywhere: each block of documents
-sends its bigrams, packed by document, to the partition that owns them; the
-partition counts all blocks' bigrams and answers with each document's part of
-the two sums.  The number of partitions follows the number of tokens.  A few
-very frequent bigrams (at most 1 / ``HOT`` of them) would make one partition
-large; they are counted exactly in an earlier pass and scored where the
-document is.  Which bigrams count as frequent is read off a sample: that
-chooses the route of a bigram and never changes a count or a score.
+Neither word nor bigram counts are gathered anywhere.  A token's loss is
+log2(c(h) + K) - log2(c(hw) + K p(w)); the second part needs counts of w and of
+bigrams that end in w, the first is summed with the word h itself, once for
+every time that a word follows it.  So each block of documents sends its
+bigrams, packed by document, to the partition that owns their last word; the
+partition counts all blocks' words and bigrams and answers with each document's
+part of the two sums.  The number of partitions follows the number of tokens.
+A few very frequent words and bigrams (at most 1 / ``HOT`` of each) would make
+one partition large; they are counted exactly in an earlier pass.  Such bigrams
+are scored where the document is, other bigrams that end in such a word are
+dealt by both their words.  Which ones count as frequent is read off a sample:
+that chooses the route of a bigram and never changes a count or a score.
 
 Edge cases: null and empty texts, or texts without words, have no tokens and
 null losses; rows that repeat a doc_id are scored together, one row comes out;
@@ -38,6 +43,7 @@ from rillvec.plans.shared import share
 from ._native import pinned
 from ._words import U, Words, mix, parts
 
+#: The least vocabulary that the prior leaves room for.
 CLASSES = 1 << 16
 KAPPA = 8.0
 HOT = 1 / 20_000
@@ -46,53 +52,99 @@ HOT_SAMPLE = 32
 TOKENS_PER_PARTITION = 2_000_000
 BLOCK_BYTES = 1 << 22
 
+START, END = U(0), U(0xFFFFFFFFFFFFFFFF)
+
 _COUNTS = "kind int, key long, target long, background long"
-_CELL = "part int, block long, is_target boolean, keys binary, counts binary, places binary, docs binary, local binary"
+_CELL = "part int, block long, is_target boolean, words binary, runs binary, keys binary, counts binary, places binary, docs binary, local binary"
 _SUMS = "block long, docs binary, sums binary"
 
 
-def bigrams(words: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of every word, key of its bigram (history << 16 | class), and the index of its text."""
+def tokens(words: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every word, the word before it (``START`` at a text's first), the index of its text, and whether it is the text's last."""
     h, off = words.of(texts)
-    w = np.maximum(h >> U(48), U(1))
+    w = np.clip(h, U(1), END - U(1))
     history = np.empty_like(w)
     history[1:] = w[:-1]
     n = np.diff(off)
-    history[off[:-1][n > 0]] = 0
-    return w.astype(np.int64), ((history << U(16)) | w).astype(np.uint32), np.repeat(np.arange(len(n)), n)
+    history[off[:-1][n > 0]] = START
+    last = np.zeros(len(w), dtype=bool)
+    last[off[1:][n > 0] - 1] = True
+    return w, history, np.repeat(np.arange(len(n)), n), last
+
+
+def bigrams(words: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a small vocabulary as 16-bit classes: class of every word, key of its bigram (history << 16 | class), and the index of its text."""
+    w, history, doc, _ = tokens(words, texts)
+    c = np.maximum(w >> U(48), U(1))
+    before = np.where(history == START, START, np.maximum(history >> U(48), U(1)))
+    return c.astype(np.int64), ((before << U(16)) | c).astype(np.uint32), doc
+
+
+def pair(history: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit key of a bigram."""
+    with np.errstate(over="ignore"):
+        return mix(history * U(0x9E3779B97F4A7C15) + w)
+
+
+def place_in(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is among the sorted ``known`` ones, and where."""
+    if not len(known):
+        return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return known[at] == keys, at
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for batch in batches:
         for part in parts(batch, 0, BLOCK_BYTES):
-            keys, n = np.unique(bigrams(words, part.column(0))[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["key", "n"])
+            w, history, _, _ = tokens(words, part.column(0))
+            one, n_one = np.unique(w, return_counts=True)
+            _, first, n_two = np.unique(pair(history, w), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(one), END), history[first]]).view(np.int64)), pa.array(np.concatenate([one, w[first]]).view(np.int64)), pa.array(np.concatenate([n_one, n_two]))], names=["history", "word", "n"])
 
 
-def _count(is_target: bool, hot: np.ndarray):
+def _count(is_target: bool, hot_words: np.ndarray, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        one, two, starts = np.zeros(CLASSES, np.int64), np.zeros(len(hot), np.int64), 0
+        total, one, two = np.zeros(2, np.int64), np.zeros(len(hot_words), np.int64), np.zeros(len(hot), np.int64)
         for batch in batches:
             for part in parts(batch, 0, BLOCK_BYTES):
-                w, keys, doc = bigrams(words, part.column(0))
-                one += np.bincount(w, minlength=CLASSES)
-                starts += len(np.unique(doc))
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
-                    two += np.bincount(at[hot[at] == keys], minlength=len(hot))
-        one[0] = starts
-        for kind, keys, n in ((1, np.arange(CLASSES), one), (2, hot.astype(np.int64), two)):
-            some = n > 0
-            zero = np.zeros(int(some.sum()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(zero), kind, np.int32)), pa.array(keys[some]), pa.array(n[some] if is_target else zero), pa.array(zero if is_target else n[some])], names=["kind", "key", "target", "background"])
+                w, history, _, _ = tokens(words, part.column(0))
+                total += len(w), int((history == START).sum())
+                is_hot, at = place_in(hot_words, w)
+                one += np.bincount(at[is_hot], minlength=len(one))
+                same, at = place_in(hot, pair(history[is_hot], w[is_hot]))
+                two += np.bincount(at[same], minlength=len(two))
+        for kind, n in ((0, total), (1, one), (2, two)):
+            some = np.flatnonzero(n)
+            zero = np.zeros(len(some), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(zero), kind, np.int32)), pa.array(some), pa.array(n[some] if is_target else zero), pa.array(zero if is_target else n[some])], names=["kind", "key", "target", "background"])
 
     return run
 
 
+def _distinct(partitions: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            for part in parts(batch, 0, BLOCK_BYTES):
+                w = np.unique(tokens(words, part.column(0))[0])
+                own = (w % U(partitions)).astype(np.int64)
+                order = np.argsort(own, kind="stable")
+                w, some = w[order], np.unique(own)
+                cuts = np.searchsorted(own[order], np.append(some, partitions))
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([w[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["part", "words"])
+
+    return run
+
+
+def _distinct_here(key: tuple, table: pa.Table) -> pa.Table:
+    return pa.table({"n": pa.array([len(np.unique(np.frombuffer(b"".join(table.column("words").to_pylist()), U)))], pa.int64())})
+
+
 class Model:
-    """Class counts of both corpora, and exact counts of the frequent bigrams."""
+    """Counts of a small vocabulary, dense by class, and the loss of its bigrams: the formula in its plain form."""
 
     def __init__(self, one: np.ndarray, hot: np.ndarray, two: np.ndarray) -> None:
         self.history = one.astype(np.float64)
@@ -107,36 +159,72 @@ class Model:
         return -np.log2((counts + KAPPA * self.prior[:, w]) / (self.history[:, h] + KAPPA))
 
 
+class Frequent:
+    """What every block knows: totals of both corpora, target first, and exact counts of the frequent words and bigrams."""
+
+    def __init__(self, total: np.ndarray, vocabulary: int, hot_words: np.ndarray, one: np.ndarray, hot: np.ndarray, ends: np.ndarray, two: np.ndarray) -> None:
+        self.mass = total[:, :1] + 0.5 * vocabulary
+        self.start = np.log2(total[:, 1] + KAPPA)
+        self.words, self.counts = hot_words, one
+        self.follow = np.log2(one + KAPPA)
+        self.hot = hot
+        self.hot_loss = self.loss(two, one[:, np.searchsorted(hot_words, ends)])
+
+    def loss(self, pairs: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """-log2(c(hw) + K p(w)) of bigrams' counts and counts of their last words: (2, bigrams)."""
+        return -np.log2(pairs + KAPPA * (last + 0.5) / self.mass)
+
+
 def _cells(is_target: bool, partitions: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, model = Words(), shared.value
         block = (TaskContext.get().partitionId() << 32) + (1 << 62) * is_target
         for batch in batches:
             for part in parts(batch, 0, BLOCK_BYTES):
-                _, keys, doc = bigrams(words, part.column(0))
+                w, history, doc, last = tokens(words, part.column(0))
+                is_hot, at = place_in(model.words, w)
+                key = pair(history, w)
+                here, spot = place_in(model.hot, key)
                 local = np.zeros((3, len(part)))
-                if len(model.hot):
-                    at = np.minimum(np.searchsorted(model.hot, keys), len(model.hot) - 1)
-                    hot = model.hot[at] == keys
-                    for row, value in enumerate((model.hot_loss[0][at[hot]], model.hot_loss[1][at[hot]], None)):
-                        local[row] = np.bincount(doc[hot], value, len(part))
-                    keys, doc = keys[~hot], doc[~hot]
-                owner = mix(keys.astype(U)) % U(partitions)
-                place = U(0) if is_target else doc.astype(U) << U(32)
-                packed, n = np.unique((owner << U(48)) | place | keys.astype(U), return_counts=True)
-                own = (packed >> U(48)).astype(np.int64)
+                goes_on = is_hot & ~last
+                for row in range(2):
+                    local[row] = np.bincount(doc[here], model.hot_loss[row][spot[here]], len(part)) + np.bincount(doc[goes_on], model.follow[row][at[goes_on]], len(part)) + np.bincount(doc[history == START], minlength=len(part)) * model.start[row]
+                local[2] = np.bincount(doc[here], minlength=len(part))
+                # The last word of a text is no history: a mark with it takes one back, where the word's owner sums.
+                marks = np.flatnonzero(last & ~is_hot) if not is_target else np.empty(0, np.int64)
+                away = np.flatnonzero(~here)
+                hot = np.concatenate([is_hot[away], np.zeros(len(marks), dtype=bool)])
+                history = np.concatenate([history[away], np.full(len(marks), END)])
+                key = np.concatenate([key[away], pair(np.full(len(marks), END), w[marks])])
+                w, doc = np.concatenate([w[away], w[marks]]), np.concatenate([doc[away], doc[marks]])
+                owner = np.where(hot, key, mix(w)) % U(partitions)
+                place = np.zeros(len(doc), U) if is_target else doc.astype(U)
+                order = np.lexsort((place, history, w, owner))
+                w, history, place, owner = w[order], history[order], place[order], owner[order].astype(np.int64)
+                new_word = np.ones(len(w), dtype=bool)
+                new_word[1:] = (w[1:] != w[:-1]) | (owner[1:] != owner[:-1])
+                new = new_word.copy()
+                new[1:] |= (history[1:] != history[:-1]) | (place[1:] != place[:-1])
+                first = np.flatnonzero(new)
+                n = np.diff(np.append(first, len(w)))
+                w, history, place, own, new_word = w[first], history[first], place[first], owner[first], new_word[first]
+                heads = np.flatnonzero(new_word)
+                runs = np.diff(np.append(heads, len(w)))
                 some = np.unique(own)
                 if not is_target:
                     some = np.union1d(some, [block % partitions])  # the block's documents travel with one cell, even where it has no bigram
                 lo, hi = np.searchsorted(own, some), np.searchsorted(own, some, side="right")
-                cols: list[list] = [[] for _ in range(5)]
-                for p, a, b in zip(some, lo, hi, strict=True):
-                    first = not is_target and p == block % partitions
-                    cols[0].append((packed[a:b] & U(0xFFFFFFFF)).astype(np.uint32).tobytes())
-                    cols[1].append(n[a:b].astype(np.uint32).tobytes())
-                    cols[2].append(((packed[a:b] >> U(32)) & U(0xFFFF)).astype(np.uint16).tobytes())
-                    cols[3].append(np.array([x if x is not None else 0 for x in part.column(1).to_pylist()], np.int64).tobytes() + np.array(part.column(1).is_valid(), dtype=np.uint8).tobytes() if first else b"")
-                    cols[4].append(local.tobytes() if first else b"")
+                head_lo, head_hi = np.searchsorted(heads, lo), np.searchsorted(heads, hi)
+                cols: list[list] = [[] for _ in range(7)]
+                for p, a, b, c, d in zip(some, lo, hi, head_lo, head_hi, strict=True):
+                    own_docs = not is_target and p == block % partitions
+                    cols[0].append(w[heads[c:d]].tobytes())
+                    cols[1].append(runs[c:d].astype(np.uint32).tobytes())
+                    cols[2].append(history[a:b].tobytes())
+                    cols[3].append(n[a:b].astype(np.uint32).tobytes())
+                    cols[4].append(place[a:b].astype(np.uint16).tobytes())
+                    cols[5].append(np.array([x if x is not None else 0 for x in part.column(1).to_pylist()], np.int64).tobytes() + np.array(part.column(1).is_valid(), dtype=np.uint8).tobytes() if own_docs else b"")
+                    cols[6].append(local.tobytes() if own_docs else b"")
                 yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), block, np.int64)), pa.array(np.full(len(some), is_target)), *[pa.array(c, pa.binary()) for c in cols]], names=[x.split()[0] for x in _CELL.split(", ")])
                 block += 1
 
@@ -145,31 +233,36 @@ def _cells(is_target: bool, partitions: int, shared):
 
 def _answer(shared):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        model: Model = shared.value
+        model: Frequent = shared.value
         rows = table.to_pydict()
-        load = lambda name, kind, target: [np.frombuffer(x, kind) for x, t in zip(rows[name], rows["is_target"], strict=True) if t == target]
-        keys, n, places = (load("keys", np.uint32, False), load("counts", np.uint32, False), load("places", np.uint16, False))
-        everywhere, each = np.unique(np.concatenate([*keys, np.empty(0, np.uint32)]), return_inverse=True)
-        counts = np.zeros((2, len(everywhere)))
-        counts[1] = np.bincount(each, np.concatenate([*n, np.empty(0, np.uint32)]), len(everywhere))
-        for k, c in zip(load("keys", np.uint32, True), load("counts", np.uint32, True), strict=True):
-            if len(everywhere):
-                at = np.minimum(np.searchsorted(everywhere, k), len(everywhere) - 1)
-                same = everywhere[at] == k
-                counts[0][at[same]] += c[same]
-        loss = model.loss(everywhere, counts)
+        load = lambda name, kind: [np.frombuffer(x, kind) for x in rows[name]]
+        runs, history, n, places = load("runs", np.uint32), load("keys", U), load("counts", np.uint32), load("places", np.uint16)
+        words, head = np.unique(np.concatenate(load("words", U)), return_inverse=True)
+        last = np.repeat(head, np.concatenate(runs).astype(np.int64))
+        before, often = np.concatenate(history), np.concatenate(n).astype(np.float64)
+        side = np.repeat(np.where(rows["is_target"], 0, 1), [len(x) for x in n])
+        some, each = np.unique(pair(before, words[last]), return_inverse=True)
+        real = before != END
+        one, two = np.zeros((2, len(words))), np.zeros((2, len(some)))
+        for s in range(2):
+            mine = real & (side == s)
+            one[s] = np.bincount(last[mine], often[mine], len(words))
+            two[s] = np.bincount(each[mine], often[mine], len(some))
+        is_hot, at = place_in(model.words, words)
+        one[:, is_hot] = model.counts[:, at[is_hot]]
+        follow = np.where(is_hot, 0.0, np.log2(one + KAPPA))
         blocks, docs, sums = [], [], []
-        at, i = 0, 0
-        for block, target, ids, local in zip(rows["block"], rows["is_target"], rows["docs"], rows["local"], strict=True):
+        a = 0
+        for block, target, ids, local, p in zip(rows["block"], rows["is_target"], rows["docs"], rows["local"], places, strict=True):
+            e, w, r, c = each[a : a + len(p)], last[a : a + len(p)], real[a : a + len(p)], often[a : a + len(p)]
+            a += len(p)
             if target:
                 continue
-            e, c, p = each[at : at + len(keys[i])], n[i].astype(np.float64), places[i]
-            at, i = at + len(keys[i]), i + 1
-            found = np.unique(p)
-            spot = np.searchsorted(found, p)
+            loss = np.where(r, model.loss(two[:, e], one[:, w]) + follow[:, w], -follow[:, w])
+            found, spot = np.unique(p, return_inverse=True)
             blocks.append(block)
             docs.append(ids)
-            part = np.concatenate([found.astype(np.float32), *[np.bincount(spot, c * v, len(found)).astype(np.float32) for v in (loss[0][e], loss[1][e], np.ones(len(e)))]])
+            part = np.concatenate([found.astype(np.float32), *[np.bincount(spot, c * v, len(found)).astype(np.float32) for v in (loss[0], loss[1], r)]])
             sums.append(np.int64(len(local)).tobytes() + local + part.tobytes())
         return pa.table({"block": pa.array(blocks, pa.int64()), "docs": pa.array(docs, pa.binary()), "sums": pa.array(sums, pa.binary())})
 
@@ -199,21 +292,25 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     texts, own = pinned(docs, "text", "doc_id"), pinned(target, "text")
-    looked = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 0).select("text").mapInArrow(_common, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    looked = looked.where(F.col("n") >= 32).orderBy(F.desc("n"), "key").limit(int(1 / HOT)).collect()
-    whole = sum(r["n"] for r in looked) or 1
-    hot = np.sort(np.array([r["key"] for r in looked if r["n"] >= HOT * whole], dtype=np.uint32))
-
-    counted = texts.select("text").mapInArrow(_count(False, hot), _COUNTS).unionAll(own.mapInArrow(_count(True, hot), _COUNTS)).groupBy("kind", "key").agg(F.sum("target").alias("t"), F.sum("background").alias("b")).collect()
-    one, two = np.zeros((2, CLASSES), np.int64), np.zeros((2, len(hot)))
-    for row in counted:
-        if row["kind"] == 1:
-            one[:, row["key"]] = row["t"], row["b"]
-        else:
-            two[:, np.searchsorted(hot, np.uint32(row["key"]))] = row["t"], row["b"]
-    shared = share(spark, Model(one, hot, two))
-
-    partitions = int(min(1 << 16, max(1, one[1, 1:].sum() // TOKENS_PER_PARTITION)))
+    looked = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 0).select("text").mapInArrow(_common, "history long, word long, n long").groupBy("history", "word").agg(F.sum("n").alias("n"))
+    looked = looked.where(F.col("n") >= 32).orderBy(F.desc("n"), "history", "word").limit(int(2 / HOT)).collect()
+    history, word, often = (np.array([r[c] for r in looked], dtype=np.int64) for c in ("history", "word", "n"))
+    history, word = history.view(U), word.view(U)
+    often_enough = often >= HOT * max(1, often[history == END].sum())
+    chosen = often_enough & (history != END)
+    hot, first = np.unique(pair(history[chosen], word[chosen]), return_index=True)
+    ends, hot_words = word[chosen][first], np.unique(word[often_enough])
+
+    seen = texts.select("text").mapInArrow(_count(False, hot_words, hot), _COUNTS).unionAll(own.mapInArrow(_count(True, hot_words, hot), _COUNTS)).groupBy("kind", "key").agg(F.sum("target").alias("t"), F.sum("background").alias("b")).collect()
+    counted = tuple(np.zeros((2, n), np.int64) for n in (2, len(hot_words), len(hot)))
+    for row in seen:
+        counted[row["kind"]][:, row["key"]] = row["t"], row["b"]
+    total, one, two = counted
+    partitions = int(min(1 << 16, max(1, total[1, 0] // TOKENS_PER_PARTITION)))
+    each = texts.select("text").unionAll(own).mapInArrow(_distinct(partitions), "part int, words binary").groupBy("part").applyInArrow(_distinct_here, "n long")
+    vocabulary = max(CLASSES, each.agg(F.sum("n")).first()[0] or 0)
+    shared = share(spark, Frequent(total, vocabulary, hot_words, one, hot, ends, two))
+
     cells = texts.mapInArrow(_cells(False, partitions, shared), _CELL).unionAll(own.mapInArrow(_cells(True, partitions, shared), _CELL))
     sums = cells.groupBy("part").applyInArrow(_answer(shared), _SUMS)
     by_doc = sums.groupBy("block").applyInArrow(_gather, "doc_id long, t double, b double, n double").groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in "tbn"])

@@ -389,6 +389,39 @@ def test_losses_match_direct_counts(spark, monkeypatch, hot, tokens):
         assert (got[i].loss_target is None) if n == 0 else (abs(got[i].loss_target - t) < 1e-3 and abs(got[i].loss_background - b) < 1e-3 and abs(got[i].score - t + b) < 2e-3)
 
 
+@pytest.mark.parametrize("hot, tokens", [(1 / 20_000, 2_000_000), (1 / 50, 300)])
+def test_words_of_one_hash_class_stay_apart(spark, monkeypatch, hot, tokens):
+    """Losses against counts of true words, where every word shares its 16 bits with another one."""
+    monkeypatch.setattr(lm_score, "HOT", hot)
+    monkeypatch.setattr(lm_score, "HOT_SAMPLE", 2)
+    monkeypatch.setattr(lm_score, "TOKENS_PER_PARTITION", tokens)
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 2000)
+    names = [f"w{i}" for i in range(4000)]
+    by_class = collections.defaultdict(list)
+    for name, h in zip(names, Words().of(pa.array([" ".join(names)]))[0], strict=True):
+        by_class[int(h) >> 48].append(name)
+    shared = [x[:2] for x in by_class.values() if len(x) > 1][:20]
+    assert len(shared) == 20
+    often, seldom = [a for a, _ in shared], [b for _, b in shared]
+    rng = random.Random(4)
+    docs = [" ".join(rng.choice(often if rng.random() < 0.9 else seldom) for _ in range(60)) for _ in range(40)] + [" ".join(seldom)]
+    target = [" ".join(rng.choice(often) for _ in range(80)) for _ in range(5)]
+    models = []
+    for texts in (target, docs):
+        w, h = collections.Counter(x for t in texts for x in t.split()), collections.Counter(p for t in texts for p in zip(["", *t.split()], t.split()))
+        models.append((w, h, sum(w.values()), len(texts)))
+
+    def loss(model, text):
+        w, pairs, n, starts = model
+        words = text.split()
+        prior = lambda x: (w[x] + 0.5) / (n + 0.5 * max(lm_score.CLASSES, len(set(names))))
+        return sum(-math.log2((pairs[h, x] + lm_score.KAPPA * prior(x)) / ((w[h] if h else starts) + lm_score.KAPPA)) for h, x in zip(["", *words], words)) / len(words)
+
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame([(t,) for t in target], "text string")).collect()}
+    for i, t in enumerate(docs):
+        assert abs(got[i].loss_target - loss(models[0], t)) < 1e-3 and abs(got[i].loss_background - loss(models[1], t)) < 1e-3
+
+
 def test_lm_edges(spark, odd_docs, no_docs):
     target = spark.createDataFrame([("a b c",)], "text string")
     got = lm_score.score(odd_docs, target).collect()
