@@ -1,11 +1,11 @@
-"""MinHash near-dedup by probability Jaccard, banding and verification.
-
-1. Texts become weighted five-word shingles (weight 1 + ln count).  ProbMinHash
-   signs them: every shingle is a Poisson process whose rate is its weight,
-   each arrival falls on a random register, a register keeps the shingle that
-   arrives first, and a shingle stops as soon as its next arrival is later
-   than every register's.  Two registers agree with the probability Jaccard of
-   the two weighted sets.
+"""MinHash near-dedup by Jaccard, banding and verification.
+
+1. Texts become sets of five-word shingles.  ProbMinHash signs them with unit
+   weights: every shingle is a Poisson process of rate one, each arrival falls
+   on a random register, a register keeps the shingle that arrives first, and a
+   shingle stops as soon as its next arrival is later than every register's.
+   Two registers agree with the Jaccard of the two sets, the same that links
+   are verified by, however often a text repeats a passage.
 2. Texts with the same words are one node.  Signatures are cut into bands;
    nodes that share a band are candidates.
 3. Within a band's bucket every node is compared with one leader only: the node
@@ -13,10 +13,10 @@
    to all others.  Links are verified by the exact Jaccard of the shingle sets,
    and joined into components.
 4. Buckets that still hold more than one component are compared in blocks,
-   inside a kernel: signatures of block against block, only between different
-   components and in the first bucket that two nodes share; pairs whose estimate
-   is near the threshold are verified there, on their shingle sets, and only
-   links that join two components come out.  No bucket is capped.
+   inside a kernel, only between different components and in the first bucket
+   that two nodes share; every such pair whose sizes allow the threshold is
+   verified there, on its shingle sets, and only links that join two components
+   come out.  No bucket is capped.
 5. A document's class is the least doc_id of its component.
 
 Edge cases: null texts, and texts without words, link with nothing but their
@@ -42,8 +42,6 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 30, 6
 BLOCK = 256
-#: Candidates of the block stage whose estimate is this far below the threshold are dropped (four standard errors).
-SLACK = 0.12
 
 _GOLD = U(0x9E3779B97F4A7C15)
 
@@ -52,10 +50,9 @@ def signatures(s: np.ndarray, so: np.ndarray, m: int) -> tuple[np.ndarray, np.nd
     """ProbMinHash of every text: (texts, m) shingles, and the number of distinct shingles."""
     n_docs = len(so) - 1
     doc = np.repeat(np.arange(n_docs, dtype=U), np.diff(so))
-    keys, count = np.unique((doc << U(48)) | (s >> U(16)), return_counts=True)
+    keys = np.unique((doc << U(48)) | (s >> U(16)))
     doc = (keys >> U(48)).astype(np.int64)
     element = mix(keys & U((1 << 48) - 1))
-    rate = 1.0 + np.log(count)
     distinct = np.bincount(doc, minlength=n_docs)
     first = np.full(n_docs * m, np.inf)
     owner = np.zeros(n_docs * m, dtype=U)
@@ -65,7 +62,7 @@ def signatures(s: np.ndarray, so: np.ndarray, m: int) -> tuple[np.ndarray, np.nd
         while len(element):
             width = 1 if len(element) > 20_000 else 16
             x = mix(element[:, None] + np.arange(step + 1, step + 1 + width, dtype=U) * _GOLD)
-            times = clock[:, None] + np.cumsum(-np.log(((x >> U(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate[:, None], axis=1)
+            times = clock[:, None] + np.cumsum(-np.log(((x >> U(11)).astype(np.float64) + 0.5) * 2.0**-53), axis=1)
             place = doc[:, None] * m + (((x & U(2047)) * U(m)) >> U(11)).astype(np.int64)
             np.minimum.at(first, place.ravel(), times.ravel())
             won = times == first[place]
@@ -73,7 +70,7 @@ def signatures(s: np.ndarray, so: np.ndarray, m: int) -> tuple[np.ndarray, np.nd
             step += width
             clock = times[:, -1]
             live = clock < first.reshape(n_docs, m).max(axis=1)[doc]
-            element, doc, rate, clock = element[live], doc[live], rate[live], clock[live]
+            element, doc, clock = element[live], doc[live], clock[live]
     return owner.reshape(n_docs, m), distinct
 
 
@@ -112,17 +109,16 @@ def _sign(bands: int, rows: int):
                         pa.array(nodes, pa.int64(), mask=np.array(raw.is_null())),
                         pa.array(distinct, pa.int32()),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists)]), pa.int32()), pa.array(band[full].ravel().view(np.int64))),
-                        pa.array([x.tobytes() for x in (sig >> U(56)).astype(np.uint8)], pa.binary()),
                     ],
-                    names=["doc_id", "node", "n", "bands", "sig"],
+                    names=["doc_id", "node", "n", "bands"],
                 )
 
     return run
 
 
 def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, node (one per sequence of words; null for a null text), n distinct shingles, band keys, one byte a register."""
-    return pinned(docs, "doc_id", "text").mapInArrow(_sign(bands, rows), "doc_id long, node long, n int, bands array<long>, sig binary")
+    """doc_id, node (one per sequence of words; null for a null text), n distinct shingles, band keys."""
+    return pinned(docs, "doc_id", "text").mapInArrow(_sign(bands, rows), "doc_id long, node long, n int, bands array<long>")
 
 
 def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,11 +165,10 @@ def _block_links(threshold: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         node, comp, side, n = (table.column(c).to_numpy() for c in ("node", "comp", "side", "n"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
         bands = np.stack([np.asarray(x) for x in table.column("bands").to_pylist()])
         here = (bands == bucket).argmax(axis=1)
         sets = table.column("s").combine_chunks()
-        values, ends = sets.values.to_numpy(), sets.offsets.to_numpy()
+        values, ends = sets.values.to_numpy().view(U), sets.offsets.to_numpy()  # sorted as unsigned numbers
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -183,19 +178,19 @@ def _block_links(threshold: float):
             return x
 
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        need = int(np.ceil((threshold - SLACK) * sig.shape[1]))
         a, b = [], []
         for i in left:
             other = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= threshold * np.maximum(n[right], n[i]))]
             if side[i] == 2:
                 other = other[node[other] > node[i]]
-            other = other[(sig[other] == sig[i]).sum(axis=1) >= need]
             other = other[(bands[other] == bands[i]).argmax(axis=1) == here[i]]
+            mine = values[ends[i] : ends[i + 1]]
             for j in other:
                 p, q = find(int(comp[i])), find(int(comp[j]))
                 if p == q:
                     continue
-                shared = len(np.intersect1d(values[ends[i] : ends[i + 1]], values[ends[j] : ends[j + 1]], assume_unique=True))
+                theirs = values[ends[j] : ends[j + 1]]
+                shared = int((mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs).sum())
                 if shared >= threshold * (int(n[i]) + int(n[j]) - shared):
                     root[q] = p
                     a.append(min(node[i], node[j]))
@@ -208,7 +203,7 @@ def _block_links(threshold: float):
 def residual_links(members: DataFrame, threshold: float) -> DataFrame:
     """Links that join different components of a bucket.
 
-    ``members`` has bucket, size, node, comp, n, sig, bands and s of all buckets
+    ``members`` has bucket, size, node, comp, n, bands and s of all buckets
     with more than one component.  A bucket is dealt to blocks of about ``BLOCK``
     nodes; every unordered pair of blocks meets in one task, so no task holds a
     bucket.
@@ -217,7 +212,7 @@ def residual_links(members: DataFrame, threshold: float) -> DataFrame:
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    rows = met.select("bucket", low.alias("low"), high.alias("high"), side.alias("side"), "node", "comp", "n", "sig", "bands", "s")
+    rows = met.select("bucket", low.alias("low"), high.alias("high"), side.alias("side"), "node", "comp", "n", "bands", "s")
     # Dealt by all three keys: left to itself Spark keeps a bucket's blocks where the join put them, in one task.
     return rows.repartition("bucket", "low", "high").groupBy("bucket", "low", "high").applyInArrow(_block_links(threshold), "a long, b long").distinct()
 
@@ -225,7 +220,7 @@ def residual_links(members: DataFrame, threshold: float) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id of every row: near copies share the least doc_id of their class."""
     signed = durable(sign(docs, bands, rows), "dedup-signed")
-    nodes = durable(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("n", "bands", "sig"), "doc_id").alias("x")).select("node", "least", "x.n", "x.bands", "x.sig"), "dedup-nodes")
+    nodes = durable(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("n", "bands"), "doc_id").alias("x")).select("node", "least", "x.n", "x.bands"), "dedup-nodes")
 
     in_bucket = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     sizes = durable(in_bucket.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "dedup-buckets")
@@ -244,7 +239,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     # A table of its own, so that the join below is of two scans and Spark can split a hot bucket.
     split = durable(placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket"), "dedup-split")
     rest = durable(placed.join(split, "bucket"), "dedup-rest")
-    more = durable(residual_links(rest.join(nodes.select("node", "sig", "bands"), "node").join(sets, "node"), threshold), "dedup-more-links")
+    more = durable(residual_links(rest.join(nodes.select("node", "bands"), "node").join(sets, "node"), threshold), "dedup-more-links")
     if not more.isEmpty():
         comp = components(links.union(more))
 

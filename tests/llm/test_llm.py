@@ -124,6 +124,23 @@ def test_block_stage_alone_finds_all_links(spark, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def repeated_copies():
+    """Pairs of near copies, of which one repeats a passage many times."""
+    rng, rows = random.Random(9), []
+    for _ in range(20):
+        lines = [prose(rng, 5, 10**6) for _ in range(80)]
+        rows += [(len(rows), "\n".join(lines)), (len(rows) + 1, "\n".join(lines[:20] * 200 + lines[20:]))]
+    return rows
+
+
+def test_repeated_passages_do_not_part_near_copies(spark):
+    rows = repeated_copies()
+    want = brute_classes(rows)
+    assert len(set(want.values())) == len(rows) // 2
+    got = {r[0]: r[1] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_signature_estimates_probability_jaccard():
     rng = random.Random(5)
     base = [f"w{i}" for i in range(400)]
