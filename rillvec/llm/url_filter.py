@@ -10,8 +10,11 @@ hosts of pages that rules allow; distrust is the same along reversed edges
 from the hosts of pages that rules block.  A host is blocked if its distrust
 is above its trust and above ``LEVEL`` times the mean over hosts.
 
-Edges are aggregated per pair of hosts before anything is joined, and ranks
-are cut from their lineage every few steps.
+Edges are aggregated per pair of hosts before anything is joined.  Ranks are
+cut from their lineage every few steps, and steps go on until they settle: until
+the summed change of trust and distrust over ``CUT`` steps is at most
+``TOLERANCE`` of the mean share of a host (1 / hosts).  All later steps together
+can change them by less than that again.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path,
 fits no rule and is allowed; null html has no links; repeated rows come out as
@@ -35,7 +38,10 @@ RULES: tuple[tuple[str, str], ...] = (
     ("block", "com/de/"),
 )
 DAMPING = 0.85
+#: Steps that the SQL unrolls; the operator itself goes on until ranks settle.
 STEPS = 10
+CUT = 5
+TOLERANCE = 1e-3
 LEVEL = 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -76,8 +82,8 @@ def edges_of(pages: DataFrame) -> DataFrame:
     return every.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """host, trust, distrust of all hosts reached; ``seeds`` has host, good, bad (numbers of pages)."""
+def propagate(edges: DataFrame, seeds: DataFrame, steps: int | None = None, damping: float = DAMPING) -> DataFrame:
+    """host, trust, distrust of all hosts reached, settled or after ``steps``; ``seeds`` has host, good, bad (numbers of pages)."""
     mass = seeds.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
     good, bad = max(1, mass["g"] or 0), max(1, mass["b"] or 0)
     start = durable(seeds.select("host", (F.col("good") / good).alias("trust0"), (F.col("bad") / bad).alias("distrust0")), "url-seeds")
@@ -87,16 +93,25 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: f
     shares = edges.join(out, "src").join(into, edges["dst"] == into["d"]).select("src", "dst", (F.col("weight") / F.col("out")).alias("forth"), (F.col("weight") / F.col("into")).alias("back"))
     ways = durable(shares.select("src", "dst", F.col("forth").alias("forth"), F.lit(0.0).alias("back")).unionByName(shares.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("forth"), "back")).groupBy("src", "dst").agg(F.sum("forth").alias("forth"), F.sum("back").alias("back")), "url-ways")
     rank = start.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
-    for step in range(1, steps + 1):
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    settled, step = rank, 0
+    while steps is None or step < steps:
+        step += 1
         sent = ways.join(rank, ways["src"] == rank["host"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("forth") * F.col("trust")).alias("t"), F.sum(F.col("back") * F.col("distrust")).alias("b"))
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
         rank = start.join(sent, "host", "full_outer").select("host", ((1 - damping) * zero("trust0") + damping * zero("t")).alias("trust"), ((1 - damping) * zero("distrust0") + damping * zero("b")).alias("distrust"))
-        if step % 5 == 0 or step == steps:
-            rank = durable(rank, "url-rank")
+        if step % CUT and step != steps:
+            continue
+        rank = durable(rank, "url-rank")
+        if steps is None:
+            before = settled.select("host", F.col("trust").alias("trust1"), F.col("distrust").alias("distrust1"))
+            change = rank.join(before, "host", "full_outer").agg(F.sum(F.abs(zero("trust") - zero("trust1")) + F.abs(zero("distrust") - zero("distrust1"))).alias("moved"), F.count("*").alias("hosts")).first()
+            if (change["moved"] or 0.0) * max(1, change["hosts"]) <= TOLERANCE:
+                break
+            settled = rank
     return rank
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, steps: int = STEPS, level: float = LEVEL) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, steps: int | None = None, level: float = LEVEL) -> DataFrame:
     """page_id, host, path, rule, verdict of every row."""
     rows = pinned(pages, "page_id", "url", "html").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)

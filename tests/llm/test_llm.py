@@ -490,6 +490,21 @@ def test_propagation_matches_matrix_iteration(spark):
     assert np.allclose([got[i] for i in range(12)], np.stack([t, d], axis=1))
 
 
+def test_ranks_settle_on_a_long_chain(spark):
+    """Distrust comes 24 links far, and equals the solution of the linear system."""
+    n = 25
+    back = np.zeros((n, n))
+    back[np.arange(1, n), np.arange(n - 1)] = 1
+    back[0, n - 1] = 1  # a ring, so that ranks never settle by themselves
+    bad = np.zeros(n)
+    bad[n - 1] = 1
+    want = np.linalg.solve(np.eye(n) - 0.85 * back.T, 0.15 * bad)
+    e = spark.createDataFrame([(str(i), str((i + 1) % n), 1) for i in range(n)], "src string, dst string, weight long")
+    seeds = spark.createDataFrame([(str(n - 1), 0, 1)], "host string, good long, bad long")
+    got = {int(r.host): r.distrust for r in url_filter.propagate(e, seeds).collect()}
+    assert sorted(got) == list(range(n)) and np.abs([got[i] - want[i] for i in range(n)]).sum() <= url_filter.TOLERANCE / n
+
+
 def test_links_between_hosts_spread_distrust(spark):
     rows = [(0, "http://bad.com/de/x", '<a href="http://x.test/">', 1)] + [(i, f"http://s{i}.net/p", '<a HREF=\'//bad.com/q\'> <a href="/own">' if i < 4 else "<p>", 1) for i in range(1, 12)]
     got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string, src int")).collect()}
