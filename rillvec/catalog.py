@@ -19,6 +19,8 @@ from .plans.durable import durable
 from .streaming import ingest
 
 K, NLIST, NPROBE, M, WORDS, LAMBDA = 10, 8, 4, 8, 16, 0.5
+#: Lists of the trained search index, and how many of them a query probes.
+TRAINED, PROBED = 16, 14
 
 
 def base(spark: SparkSession, d: str) -> DataFrame:
@@ -318,6 +320,44 @@ def coverage_faults(spark, d):
     return routes.coverage_faults(two[0].postings.unionByName(two[1].postings), base(spark, d).count())
 
 
+def _searchable(spark: SparkSession, d: str) -> tuple[ivf.IvfModel, DataFrame]:
+    """A trained index for search: ``TRAINED`` lists, and a code of a byte for every dimension."""
+    rows = durable(base(spark, d), "vectors")
+    model = ivf.train(rows, TRAINED, 64, 8, iterations=8)
+    return model, durable(ivf.postings_of(ivf.encode(rows, model)), "postings")
+
+
+@query("trained_adc_search")
+def trained_adc_search(spark, d):
+    model, held = _searchable(spark, d)
+    return _rounded(ivf.search_adc(model, held, query_rows(spark, d), K, PROBED).select("query_id", "doc_id", "list_id", "approx", "rank"), "approx")
+
+
+@query("trained_flat_search")
+def trained_flat_search(spark, d):
+    model, held = _searchable(spark, d)
+    found = ivf.search_flat(model.centroid_table(spark), held, base(spark, d), query_rows(spark, d), K, PROBED, TRAINED)
+    return _rounded(found.select("query_id", "doc_id", "list_id", "approx", "rank"), "approx")
+
+
+@query("trained_rerank_search")
+def trained_rerank_search(spark, d):
+    model, held = _searchable(spark, d)
+    found = routes.search([routes.Route("main", model, held, 0)], base(spark, d), query_rows(spark, d), K, PROBED, shared_budget=200)
+    return _rounded(found.select("query_id", "doc_id", "approx", "rerank", "rank"), "approx", "rerank")
+
+
+@query("trained_multi_route_search")
+def trained_multi_route_search(spark, d):
+    """Two shards of the trained index that meet on label 4."""
+    model, held = _searchable(spark, d)
+    held = held.join(spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
+    columns = ["shard", "list_id", "doc_id", "code"]
+    two = [routes.Route("main", model, held.where("label < 5").select(*columns), 0), routes.Route("active", model, held.where("label >= 4").withColumn("shard", F.lit("active")).select(*columns), 1)]
+    found = routes.search(two, base(spark, d), query_rows(spark, d), K, PROBED, shared_budget=200)
+    return _rounded(found.select("query_id", "doc_id", "from_new", "route", "rerank", "rank"), "rerank")
+
+
 @query("trained_search_recall")
 def trained_search_recall(spark, d):
     """Recall of a trained index with exact rerank, against brute force, by number of probed lists."""

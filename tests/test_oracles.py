@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from rillvec import catalog
@@ -47,6 +48,15 @@ def test_trained_index_reaches_the_recall_floor(spark):
     assert got[16] >= 0.95 and got[12] >= 0.9 and got[1] <= got[4] <= got[8] <= got[12] + 1e-9
 
 
+@pytest.mark.parametrize("name", ["trained_flat_search", "trained_adc_search", "trained_rerank_search", "trained_multi_route_search"])
+def test_trained_searches_reach_the_recall_floor(spark, name):
+    table = catalog.base(spark, SF).toPandas()
+    ids, x = table["doc_id"].to_numpy(), np.array(table["x"].tolist(), dtype=np.float64)
+    truth = {(int(q), int(i)) for q, v in zip(ids, x) if q % 100 == 0 for i in ids[np.lexsort((ids, ((x - v) ** 2).sum(axis=1)))[:10]]}
+    found = {(r.query_id, r.doc_id) for r in catalog.QUERIES[name](spark, SF).collect()}
+    assert len(found & truth) >= 0.9 * len(truth)
+
+
 def test_runs_reach_the_recall_floor(spark):
     for name in ("stream_run", "workload_run"):
         assert all(r.recall >= 0.9 for r in catalog.QUERIES[name](spark, SF).collect())
