@@ -17,12 +17,21 @@
    that two nodes share; every such pair whose sizes allow the threshold is
    verified there, on its shingle sets, and only links that join two components
    come out.  No bucket is capped.
-5. A document's class is the least doc_id of its component.
+5. Comparing all blocks of a bucket costs the square of its size, so the nodes
+   of a bucket of more than ``WIDE`` are first dealt to finer ones, without loss:
+   a set's shingles are ordered by the number of such nodes that hold them, and
+   two sets of the threshold's Jaccard must share one among the rarest
+   n - ceil(threshold * n) + 1 of each.  Pages of one template, which share many
+   shingles but not their rare ones, then never meet.
+6. A document's class is the least doc_id of its component.
 
 Edge cases: null texts, and texts without words, link with nothing but their
 exact copies (a null text with none); texts of fewer than five words have one
 shingle of all their words; repeated rows come out as often as they came in,
-in one class; an empty table gives an empty result; extra columns are ignored.
+in one class; rows are told apart by id and text, so an id that stands on
+several texts, or a null id, is no tie between them; a class of rows without
+any id has a null class_id; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +51,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 30, 6
 BLOCK = 256
+#: Nodes of a bucket beyond which it is dealt to finer ones.
+WIDE = 4 * BLOCK
 
 _GOLD = U(0x9E3779B97F4A7C15)
 
@@ -106,29 +117,34 @@ def _sign(bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).cast(pa.int64()),
+                        part.column(2),
                         pa.array(nodes, pa.int64(), mask=np.array(raw.is_null())),
                         pa.array(distinct, pa.int32()),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists)]), pa.int32()), pa.array(band[full].ravel().view(np.int64))),
                     ],
-                    names=["doc_id", "node", "n", "bands"],
+                    names=["doc_id", "text_hash", "node", "n", "bands"],
                 )
 
     return run
 
 
 def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, node (one per sequence of words; null for a null text), n distinct shingles, band keys."""
-    return pinned(docs, "doc_id", "text").mapInArrow(_sign(bands, rows), "doc_id long, node long, n int, bands array<long>")
+    """doc_id, text_hash, node (one per sequence of words; null for a null text), n distinct shingles, band keys."""
+    return _hashed(docs).mapInArrow(_sign(bands, rows), "doc_id long, text_hash long, node long, n int, bands array<long>")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return pinned(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
 
 
 def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, node) to (node, sorted shingles) where the text is the node's; an id may stand on several texts."""
+    """(text, node) to (node, sorted shingles) where the text is the node's."""
     words = Words()
     for batch in batches:
-        for part in parts(batch, 1):
-            h, off = words.of(part.column(1))
+        for part in parts(batch, 0):
+            h, off = words.of(part.column(0))
             s, so = shingles(h, off, SHINGLE)
-            node = part.column(2).to_numpy()
+            node = part.column(1).to_numpy()
             own = [i for i in range(len(part)) if _node(h[off[i] : off[i + 1]].tobytes()) == node[i]]
             sets = [np.unique(s[so[i] : so[i + 1]]) for i in own]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
@@ -161,12 +177,15 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("node", "comp")
 
 
-def _block_links(threshold: float):
+def _block_links(threshold: float, finer: bool):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         node, comp, side, n = (table.column(c).to_numpy() for c in ("node", "comp", "side", "n"))
-        bands = np.stack([np.asarray(x) for x in table.column("bands").to_pylist()])
-        here = (bands == bucket).argmax(axis=1)
+        lists = table.column("keys").combine_chunks()
+        keys, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+        even = len(set(np.diff(cuts).tolist())) == 1
+        bands = keys[cuts[0] : cuts[-1]].reshape(len(node), -1) if even and not finer else None
+        here = (bands == bucket).argmax(axis=1) if bands is not None else None
         sets = table.column("s").combine_chunks()
         values, ends = sets.values.to_numpy().view(U), sets.offsets.to_numpy()  # sorted as unsigned numbers
         root: dict[int, int] = {}
@@ -183,12 +202,16 @@ def _block_links(threshold: float):
             other = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= threshold * np.maximum(n[right], n[i]))]
             if side[i] == 2:
                 other = other[node[other] > node[i]]
-            other = other[(bands[other] == bands[i]).argmax(axis=1) == here[i]]
+            if bands is not None:
+                other = other[(bands[other] == bands[i]).argmax(axis=1) == here[i]]
             mine = values[ends[i] : ends[i + 1]]
             for j in other:
                 p, q = find(int(comp[i])), find(int(comp[j]))
                 if p == q:
                     continue
+                # Rare shingles are sorted: the pair is for the bucket of the first that both have.
+                if bands is None and np.intersect1d(keys[cuts[i] : cuts[i + 1]], keys[cuts[j] : cuts[j + 1]], assume_unique=True)[0] != bucket:
+                    continue
                 theirs = values[ends[j] : ends[j + 1]]
                 shared = int((mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs).sum())
                 if shared >= threshold * (int(n[i]) + int(n[j]) - shared):
@@ -200,27 +223,52 @@ def _block_links(threshold: float):
     return run
 
 
-def residual_links(members: DataFrame, threshold: float) -> DataFrame:
+def residual_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, finer: bool = False) -> DataFrame:
     """Links that join different components of a bucket.
 
-    ``members`` has bucket, size, node, comp, n, bands and s of all buckets
-    with more than one component.  A bucket is dealt to blocks of about ``BLOCK``
-    nodes; every unordered pair of blocks meets in one task, so no task holds a
-    bucket.
+    ``members`` has bucket, size, node and comp of all buckets with more than
+    one component, ``nodes`` each node's n and keys, the buckets it may be in.
+    A bucket is dealt to blocks of about ``BLOCK`` nodes; every unordered pair
+    of blocks meets in one task, so no task holds a bucket.
     """
     dealt = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    rows = met.select("bucket", low.alias("low"), high.alias("high"), side.alias("side"), "node", "comp", "n", "bands", "s")
+    rows = met.select("bucket", low.alias("low"), high.alias("high"), side.alias("side"), "node", "comp").join(nodes, "node").join(sets, "node")
     # Dealt by all three keys: left to itself Spark keeps a bucket's blocks where the join put them, in one task.
-    return rows.repartition("bucket", "low", "high").groupBy("bucket", "low", "high").applyInArrow(_block_links(threshold), "a long, b long").distinct()
+    return rows.repartition("bucket", "low", "high").groupBy("bucket", "low", "high").applyInArrow(_block_links(threshold, finer), "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id of every row: near copies share the least doc_id of their class."""
+def rare_shingles(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """node, n, keys: of each node's shingles the rarest n - ceil(threshold * n) + 1, sorted.
+
+    How rare a shingle is counts over ``nodes`` (node); with one order for all
+    sets, any two of them with a Jaccard of the threshold share one of these.
+    """
+    own = durable(sets.join(nodes.select("node").distinct(), "node", "left_semi"), "dedup-wide")
+    each = own.select("node", F.explode("s").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
+    ordered = each.join(often, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("x"))
+    n = F.size("x")
+    kept = F.slice("x", F.lit(1), (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
+    return durable(ordered.select("node", n.alias("n"), F.sort_array(F.transform(kept, lambda y: y["shingle"])).alias("keys")), "dedup-rare")
+
+
+def wide_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between the components of ``members`` (node, comp), the nodes of wide buckets."""
+    ours = durable(members.select("node", "comp").distinct(), "dedup-wide-nodes")
+    rare = rare_shingles(ours, sets, threshold)
+    placed = rare.select("node", F.explode("keys").alias("bucket")).join(ours, "node")
+    split = durable(placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket", "size"), "dedup-wide-split")
+    return residual_links(placed.join(split, "bucket"), rare, sets, threshold, finer=True)
+
+
+def _named(docs: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's doc_id, text_hash and node; and of every node its class: class_id, and doc_id and text_hash of the row that stands for the class."""
     signed = durable(sign(docs, bands, rows), "dedup-signed")
-    nodes = durable(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("n", "bands"), "doc_id").alias("x")).select("node", "least", "x.n", "x.bands"), "dedup-nodes")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    nodes = durable(signed.where("node is not null").groupBy("node").agg(F.min(row).alias("least"), F.first(F.struct("n", "bands")).alias("x")).select("node", "least", "x.n", "x.bands"), "dedup-nodes")
 
     in_bucket = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     sizes = durable(in_bucket.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "dedup-buckets")
@@ -230,31 +278,45 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     likely = F.least("n", "leader_n") >= F.lit(threshold) * F.greatest("n", "leader_n")
     stars = durable(members.join(best, "bucket").where(F.col("node") != F.col("leader")).where(likely).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "dedup-stars")
 
-    ids = nodes.select(F.col("least").alias("doc_id"), "node").join(members.select("node").distinct(), "node", "left_semi")
-    sets = durable(pinned(docs, "doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "node").mapInArrow(_own_sets, "node long, s array<long>").dropDuplicates(["node"]), "dedup-sets")
+    # The text of one row stands for its node: found again by its id and hash.
+    ours = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("least.doc_id").alias("own_id"), F.col("least.text_hash").alias("own_hash"))
+    texts = _hashed(docs).join(ours, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))).select("text", "node")
+    sets = durable(texts.mapInArrow(_own_sets, "node long, s array<long>").dropDuplicates(["node"]), "dedup-sets")
     links = verify(stars, sets, threshold)
     comp = components(links)
 
-    placed = members.join(comp, "node", "left").select("bucket", "size", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    placed = members.join(comp, "node", "left").select("bucket", "size", "node", F.coalesce("comp", "node").alias("comp"))
     # A table of its own, so that the join below is of two scans and Spark can split a hot bucket.
     split = durable(placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket"), "dedup-split")
     rest = durable(placed.join(split, "bucket"), "dedup-rest")
-    more = durable(residual_links(rest.join(nodes.select("node", "bands"), "node").join(sets, "node"), threshold), "dedup-more-links")
+    more = durable(residual_links(rest.where(F.col("size") <= WIDE), nodes.select("node", "n", F.col("bands").alias("keys")), sets, threshold), "dedup-more-links")
+    wide = rest.where(F.col("size") > WIDE)
+    if not wide.isEmpty():
+        more = more.union(durable(wide_links(wide, sets, threshold), "dedup-wide-links"))
     if not more.isEmpty():
         comp = components(links.union(more))
 
     label = durable(nodes.select("node", "least").join(comp, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp")), "dedup-comp")
-    first = durable(label.groupBy("comp").agg(F.min("least").alias("class_id")), "dedup-first")
-    named = label.join(first, "comp").select("node", "class_id")
-    return signed.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    first = durable(label.groupBy("comp").agg(F.min("least").alias("first")), "dedup-first")
+    return signed.select("doc_id", "text_hash", "node"), label.join(first, "comp").select("node", F.col("first.doc_id").alias("class_id"), F.col("first.text_hash").alias("class_hash"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, class_id of every row: near copies share the least doc_id of their class."""
+    signed, named = _named(docs, threshold, bands, rows)
+    return signed.join(named, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class, that of its least doc_id, with all columns of ``docs``.
+    """One row of each class, with all columns of ``docs``: that of its least doc_id, of several texts with that id the one of least hash.
 
-    Rows with a null doc_id stay.  Rows that share an id count as one document,
-    of which one row stays.
+    Rows with a null text are classes of their own and all stay.  A null id is
+    after all others.  Of rows with the same id and text one stays.
     """
-    kept = classes(docs, threshold).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    joined = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return joined.unionByName(docs.where(F.col("doc_id").isNull()))
+    _, named = _named(docs, threshold, BANDS, ROWS)
+    key = ["__id", "__none", "__hash"]
+    keyed = lambda df, i, h: df.withColumn("__id", F.coalesce(i, F.lit(0))).withColumn("__none", i.isNull()).withColumn("__hash", h)
+    kept = durable(keyed(named, F.col("class_id"), F.col("class_hash")).select(*key).distinct(), "dedup-kept")
+    # Join and duplicates go by the same columns: texts are shuffled once.
+    rows = keyed(docs.where(F.col("text").isNotNull()), F.col("doc_id"), F.xxhash64("text"))
+    return rows.join(kept, key, "left_semi").dropDuplicates(key).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col("text").isNull()))

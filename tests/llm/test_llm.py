@@ -141,6 +141,48 @@ def test_repeated_passages_do_not_part_near_copies(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("times", [3, 60])
+def test_a_repeated_footer_does_not_part_copies(spark, times):
+    rng, rows = random.Random(21), []
+    footer = prose(rng, 22, 10**6)
+    for _ in range(50):
+        text = prose(rng, 160, 10**6)
+        rows += [(len(rows), text), (len(rows) + 1, f"{text} {footer} " + f"{footer} " * (times - 1))]
+    want = brute_classes(rows)
+    assert sum(i != c for i, c in want.items()) == 50
+    got = {r[0]: r[1] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_wide_buckets_are_split_without_loss(spark, monkeypatch, seed):
+    """Pages of one template, and near copies of some; all buckets but the least go the finer way."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "WIDE", 2)
+    monkeypatch.setattr(near_dedup, "verify", lambda pairs, sets, threshold: pairs.where("1 = 0"))
+    rng, rows = random.Random(seed), near_copies(seed)
+    template = prose(rng, 120, 10**6)
+    for _ in range(60):
+        own = prose(rng, 30, 10**6)
+        rows.append((len(rows), f"{template} {own}"))
+        if rng.random() < 0.4:
+            rows.append((len(rows), f"{template} {own} {prose(rng, rng.randrange(1, 30), 10**6)}"))
+    got = {r[0]: r[1] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_keep_one_tells_rows_apart_by_id_and_text(spark):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 60, 10**6) for _ in range(3))
+    rows = [(1, a, "x"), (7, a, "y"), (7, b, "z"), (None, c, "n"), (None, c, "n"), (None, a, "n"), (8, None, "0"), (8, None, "0")]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(map(str, kept)) == sorted(f"Row(doc_id={i}, text={t!r}, source={s!r})" for i, t, s in [rows[0], rows[2], rows[3], rows[6], rows[7]])
+    near = [(None, a), (None, a + " tail"), (5, b)]
+    got = near_dedup.classes(spark.createDataFrame(near, "doc_id long, text string")).collect()
+    assert sorted(map(str, got)) == ["Row(doc_id=5, class_id=5)"] + ["Row(doc_id=None, class_id=None)"] * 2
+    assert near_dedup.keep_one(spark.createDataFrame(near, "doc_id long, text string")).count() == 2
+
+
 def test_signature_estimates_probability_jaccard():
     rng = random.Random(5)
     base = [f"w{i}" for i in range(400)]
@@ -188,6 +230,27 @@ def test_bloom_filters_hold_every_gram_of_many_languages():
         assert shares[k] > 0.999 and np.delete(shares, k).max() < 0.1
 
 
+def test_predictions_match_a_loop_over_grams(spark):
+    """Every n-gram of a text is looked up on its own, in plain Python, and the shares are corrected one by one."""
+    rng = random.Random(17)
+    vocabulary = {x: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(60)] for x, letters in (("aa", "abcdefg"), ("bb", "efghijk"), ("cc", "jklmnoé"))}
+    rows = [(i, " ".join(rng.choice(vocabulary[x]) for _ in range(rng.randrange(3, 60))), x) for i, x in enumerate(rng.choice(sorted(vocabulary)) for _ in range(200))]
+    df = spark.createDataFrame(rows + [(900, "½ ② 12", "aa"), (901, "Ⅷ ٣ _", "bb"), (902, "ß", "cc")], "doc_id long, text string, lang string").withColumn("held_out", F.lit(False))
+    f = language_id.fit(df.where("doc_id < 900"))
+    size = f.slots.shape[1]
+    for r in language_id.predict(df, f).collect():
+        if r.doc_id >= 900:
+            assert (r.lang_pred == "und") == (r.doc_id < 902) and (r.score == 0 or r.doc_id == 902)
+            continue
+        data = f" {rows[r.doc_id][1].lower()} ".encode()
+        grams = [int.from_bytes(data[i : i + 4], "big") for i in range(len(data) - 3)]
+        shares = []
+        for k in range(len(f.langs)):
+            hits = sum(all(int(f.slots[0, p[0]]) >> k & 1 for p in f.places(np.array([g], np.uint32), size)) for g in grams)
+            shares.append(min(1, max(0, (hits / max(1, len(grams)) - f.wrong[k]) / (1 - f.wrong[k]))))
+        assert r.lang_pred == f.langs[int(np.argmax(shares))] and abs(r.score - max(shares) / max(sum(shares), 1e-12)) < 1e-9
+
+
 def test_language_edges(odd_docs, no_docs):
     got = {r.doc_id: r for r in language_id.identify(odd_docs).collect()}
     assert got[1].lang_pred == got[2].lang_pred == got[3].lang_pred == "und" and got[1].score == 0
