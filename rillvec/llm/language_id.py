@@ -20,7 +20,6 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,7 +42,8 @@ SAMPLE = 2000
 LEAST_SHARE = 0.01
 #: ... and in at least this share relative to the language where it is most frequent.
 RELATIVE = 0.25
-_LETTER = re.compile(r"[^\W\d_]")
+#: Any character of Unicode's category L; numerals and fractions are not letters.
+_LETTER = r"\p{L}"
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -150,7 +150,7 @@ def _predict(shared):
         for batch in batches:
             for part in parts(batch, 1):
                 g, off = _owned(part.column(1))
-                lettered = np.array([x is not None and _LETTER.search(x) is not None for x in part.column(1).to_pylist()], dtype=bool)
+                lettered = pc.fill_null(pc.match_substring_regex(part.column(1), _LETTER), False).to_numpy(zero_copy_only=False)
                 if filters.langs:
                     shares = filters.shares(g, off)
                     best = shares.argmax(axis=1)
