@@ -66,23 +66,27 @@ SELECT doc_id, size, source_size, target,
 """
 
 
-def _matches(kind: int, pattern: str, group: int, least: int) -> str:
+def _matches(kind: int, pattern: str, group: int, least: int, table: str = "d") -> str:
     quoted = pattern.replace("'", "''")
     return f"""SELECT r, {kind} AS kind, start, start + length(found[i]) AS stop FROM (
       SELECT r, found, own, i, CAST(list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM (
         SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (
-          SELECT r, regexp_extract_all(t, '{quoted}', 0) AS found, regexp_extract_all(t, '{quoted}', {group}) AS own, string_split_regex(t, '{quoted}') AS pieces FROM d))) WHERE length(own[i]) >= {least}"""
+          SELECT r, regexp_extract_all(t, '{quoted}', 0) AS found, regexp_extract_all(t, '{quoted}', {group}) AS own, string_split_regex(t, '{quoted}') AS pieces FROM {table}))) WHERE length(own[i]) >= {least}"""
 
 
 _NEED = "CASE " + " ".join(f"WHEN regexp_matches(c, '{p}') THEN {bits}" for _, p, bits in secret_scan.CLASSES) + " END"
-_FREE = " AND ".join(f"NOT regexp_matches(c, '{p}')" for p in secret_scan.ALLOW)
+_FREE = " AND ".join([f"NOT regexp_matches(c, '{p}')" for p in secret_scan.ALLOW] + [f"NOT regexp_matches(regexp_extract(c, '{secret_scan.VALUE}', 0), '{p}')" for p in secret_scan.ALLOW_VALUE])
 _W = secret_scan.WINDOW
 SECRETS = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({" UNION ALL ".join(_matches(k, *x[1:]) for k, x in enumerate(secret_scan.BASE))}),
-cand AS (SELECT c0.*, substr(t, CAST(start + 1 AS INTEGER), CAST(stop - start AS INTEGER)) AS c FROM ({_matches(len(secret_scan.BASE), f"({secret_scan.CANDIDATE})", 1, 20)}) AS c0 JOIN d USING (r)),
-alone AS (SELECT * FROM cand WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.r = cand.r AND base.start < cand.stop AND cand.start < base.stop)),
-high AS (SELECT r, kind, start, stop FROM alone WHERE {_FREE}
+new AS (SELECT *, CASE WHEN start < max(stop) OVER (PARTITION BY r ORDER BY start, stop, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM base),
+isle AS (SELECT r, min(start) AS a, max(stop) AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY start, stop, kind ROWS UNBOUNDED PRECEDING) AS g FROM new) GROUP BY r, g),
+sea AS (SELECT isle.*, t, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS past FROM isle JOIN d USING (r)),
+blank AS (SELECT r, string_agg(substr(t, CAST(past + 1 AS INTEGER), CAST(a - past AS INTEGER)) || repeat(' ', b - a), '' ORDER BY a) || substr(any_value(t), CAST(max(b) + 1 AS INTEGER)) AS rest FROM sea GROUP BY r),
+e AS (SELECT r, coalesce(rest, t) AS t FROM d LEFT JOIN blank USING (r)),
+cand AS (SELECT c0.*, substr(t, CAST(start + 1 AS INTEGER), CAST(stop - start AS INTEGER)) AS c FROM ({_matches(len(secret_scan.BASE), f"({secret_scan.CANDIDATE})", 1, 20, "e")}) AS c0 JOIN e USING (r)),
+high AS (SELECT r, kind, start, stop FROM cand WHERE {_FREE}
   AND list_max(list_transform(range(1, length(c) - {_W - 2}), lambda i: list_entropy(string_split(substr(c, CAST(i AS INTEGER), {_W}), '')))) > {_NEED}),
 said AS (SELECT r, kind, start, (['assign', 'access', 'hex', 'entropy'])[kind + 1] || ':' || start || ':' || stop AS s FROM (SELECT * FROM base UNION ALL SELECT * FROM high)),
 agg AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
