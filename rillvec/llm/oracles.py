@@ -49,7 +49,7 @@ FROM c
 
 _ORDER = "key, doc_id, size"
 MIX = f"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(31) || coalesce(text, '')) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 k AS (SELECT source, source_size, {mixing.REPEATS} * source_size AS cap, [{", ".join(map(str, mixing.WEIGHTS))}][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1 AS INTEGER)] AS weight FROM s),
 o AS (SELECT *, row_number() OVER w AS i, sum(cap) OVER w - cap AS capped, sum(weight) OVER () - (sum(weight) OVER w - weight) AS rest, sum(source_size) OVER () AS whole
@@ -117,7 +117,7 @@ q AS (SELECT *, {_rule_case(1)} AS rule, {_rule_case(0)} AS said FROM p),
 seeds AS (SELECT host, count(*) FILTER (said = 'allow') AS good, count(*) FILTER (said = 'block') AS bad FROM q WHERE host <> '' GROUP BY host),
 links AS (SELECT host AS src, {_host(f"({link})")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?([a-z]*:?//[^"''\\s>]+)', 1)) AS link FROM p WHERE contains(html, '//'))),
 parts AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM p),
-chain AS (SELECT array_to_string(l[-k:], '.') AS up, array_to_string(l[-k - 1:], '.') AS down FROM (SELECT l, unnest(range(2, len(l))) AS k FROM parts WHERE len(l) > 2)),
+chain AS (SELECT array_to_string(l[-k:], '.') AS up, array_to_string(l[-k - 1:], '.') AS down FROM (SELECT l, unnest(range(least, len(l))) AS k FROM (SELECT *, CASE WHEN array_to_string(l[-2:], '.') IN ({", ".join(f"'{x}'" for x in url_filter.SUFFIXES)}) THEN 3 ELSE 2 END AS least FROM parts) WHERE len(l) > least)),
 ties AS (SELECT up AS src, down AS dst FROM chain UNION SELECT down, up FROM chain),
 e AS (SELECT src, dst, sum(n) AS weight FROM (SELECT src, dst, count(*) AS n FROM links WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL UNION ALL SELECT src, dst, 1 FROM ties) GROUP BY src, dst),
 f AS MATERIALIZED (SELECT src, dst, CAST(weight AS DOUBLE) / sum(weight) OVER (PARTITION BY src) AS forth, CAST(weight AS DOUBLE) / sum(weight) OVER (PARTITION BY dst) AS back FROM e),
@@ -129,8 +129,9 @@ r0 AS MATERIALIZED (SELECT n.host, coalesce(good, 0) / greatest(1, sum(good) OVE
 r{k + 1} AS MATERIALIZED (SELECT r.host, t0, b0, {1 - a!r} * t0 + {a} * coalesce(x.t, 0) AS t, {1 - a!r} * b0 + {a} * coalesce(y.b, 0) AS b FROM r{k} r
   LEFT JOIN (SELECT dst AS host, sum(forth * t) AS t FROM f JOIN r{k} q ON f.src = q.host GROUP BY dst) x USING (host)
   LEFT JOIN (SELECT src AS host, sum(back * b) AS b FROM f JOIN r{k} q ON f.dst = q.host GROUP BY src) y USING (host))"""
-    last = f"r{url_filter.STEPS}"
+    last = "ranked"
     return sql + f""",
+ranked AS (SELECT host, t / coalesce(nullif(sum(t) OVER (), 0), 1) AS t, b / coalesce(nullif(sum(b) OVER (), 0), 1) AS b FROM r{url_filter.STEPS}),
 bad AS (SELECT host FROM {last} WHERE b > t AND b > {url_filter.LEVEL} * (SELECT avg(b) FROM {last}))
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM q"""
 

@@ -5,10 +5,13 @@ starts with the rule's path, and the longest rule wins.  Pages that no rule
 fits are judged by their host.
 
 Hosts form a graph: hyperlinks between hosts, and ties between a host and the
-domain it is part of.  Trust is personalised PageRank along the edges from the
+domains above it, up to the registrable one: hosts under a suffix that anyone
+can register below (``SUFFIXES``) have nothing to do with each other.  Trust is personalised PageRank along the edges from the
 hosts of pages that rules allow; distrust is the same along reversed edges
 from the hosts of pages that rules block.  A host is blocked if its distrust
-is above its trust and above ``LEVEL`` times the mean over hosts.
+is above its trust and above ``LEVEL`` times the mean over hosts.  What a host
+without outgoing edges holds goes back to the seeds; at the fixed point that
+only scales all ranks by one number, so ranks are divided by their sum.
 
 Edges are aggregated per pair of hosts before anything is joined.  Ranks are
 cut from their lineage every few steps, and steps go on until they settle: until
@@ -43,6 +46,13 @@ STEPS = 10
 CUT = 5
 TOLERANCE = 1e-3
 LEVEL = 1.0
+# Suffixes of two labels below which names are registered; others have one label.
+SUFFIXES: tuple[str, ...] = (
+    "ac.jp", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za",
+    "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.hk", "com.mx", "com.my", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn",
+    "edu.au", "edu.cn", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "ne.jp", "net.au", "net.br", "net.cn", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.nz", "org.uk",
+    "blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "tumblr.com", "vercel.app", "weebly.com", "wixsite.com", "wordpress.com",
+)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,14 +79,15 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
 
 
 def edges_of(pages: DataFrame) -> DataFrame:
-    """src, dst, weight: links between different hosts, and ties of hosts to the domains above them (of two labels or more)."""
+    """src, dst, weight: links between different hosts, and ties of hosts to the domains above them, from the registrable one on."""
     links = F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']?([a-z]*:?//[^"'\s>]+)"""), F.lit(1))
     linked = pages.where(F.col("html").contains("//")).select(F.col("host").alias("src"), F.explode(links).alias("link"))
     linked = linked.select("src", host_of(F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), "link")).otherwise(F.col("link"))).alias("dst"))
     hosts = pages.select("host").distinct()
     labels = F.split("host", r"\.")
-    above = F.transform(F.sequence(F.lit(2), F.size(labels)), lambda k: F.array_join(F.slice(labels, -k, k), "."))
-    chain = hosts.where(F.size(labels) > 2).select(above.alias("chain")).select(F.explode(F.arrays_zip(F.slice("chain", 1, F.size("chain") - 1).alias("up"), F.slice("chain", 2, F.size("chain")).alias("down"))).alias("tie"))
+    least = F.when(F.array_join(F.slice(labels, -2, 2), ".").isin(*SUFFIXES), 3).otherwise(2)
+    above = F.transform(F.sequence(least, F.size(labels)), lambda k: F.array_join(F.slice(labels, -k, k), "."))
+    chain = hosts.where(F.size(labels) > least).select(above.alias("chain")).select(F.explode(F.arrays_zip(F.slice("chain", 1, F.size("chain") - 1).alias("up"), F.slice("chain", 2, F.size("chain")).alias("down"))).alias("tie"))
     ties = chain.select(F.explode(F.array(F.struct(F.col("tie")["up"].alias("src"), F.col("tie")["down"].alias("dst")), F.struct(F.col("tie")["down"].alias("src"), F.col("tie")["up"].alias("dst")))).alias("e")).select("e.src", "e.dst").distinct()
     every = linked.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("weight")).unionByName(ties.withColumn("weight", F.lit(1).cast("long")))
     return every.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
@@ -108,7 +119,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int | None = None, damp
             if (change["moved"] or 0.0) * max(1, change["hosts"]) <= TOLERANCE:
                 break
             settled = rank
-    return rank
+    total = rank.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("b")).first()
+    return rank.select("host", (F.col("trust") / (total["t"] or 1.0)).alias("trust"), (F.col("distrust") / (total["b"] or 1.0)).alias("distrust"))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, steps: int | None = None, level: float = LEVEL) -> DataFrame:
