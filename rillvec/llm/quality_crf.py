@@ -5,12 +5,16 @@ lines before and after it; labels of neighbouring lines are tied by transition
 weights.  Marginals come from forward-backward, and a document's score is the
 mean of its lines' marginals weighted by their length.
 
-Training is weakly supervised: every line of a labelled document carries the
-document's label.  It reads a bounded sample of the labelled rows: about
-``SAMPLE`` documents of each label, chosen by hash, of at most ``TRAIN_LINES``
-lines; scoring reads every text whole.  As the sample takes more of the rarer
-label than there is, scores are corrected for the two shares: the odds are
-multiplied by the labels' true ratio over the sample's.
+Labels are of documents, line labels are hidden: each line is taken to agree
+with its document's label but for a share ``DOUBT`` of lines.  The gradient is
+the expected counts with the document's label given less those without, so a
+line that looks like the other kind may be of the other kind, and good lines
+may follow bad ones.  Training reads a bounded sample of the labelled rows:
+about ``SAMPLE`` documents of each label, chosen by hash, and of a document of
+more than ``TRAIN_LINES`` lines a stretch of that many, which starts where a
+hash of its id says; scoring reads every text whole.  As the sample takes more
+of the rarer label than there is, scores are corrected for the two shares: the
+odds are multiplied by the labels' true ratio over the sample's.
 
 Edge cases: a null or empty text is one empty line; without labelled rows each
 score is 0.5; several labels of one document count as 1 if any is; repeated
@@ -19,6 +23,7 @@ rows come out as often as they came in; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,13 +36,17 @@ from pyspark.sql import functions as F
 from rillvec.plans.shared import share
 
 from ._native import pinned
-from ._words import U, Words, parts, utf8
+from ._words import U, Words, mix, parts, utf8
 from .language_id import held_out
 
 SAMPLE = 1500
 TRAIN_LINES = 300
 THRESHOLD = 0.7
 STEPS = 150
+#: Share of lines that are not of their document's kind.
+DOUBT = 0.05
+#: Decay of line weights and of moves between labels, a step.
+DECAY, MOVE_DECAY = 1e-4, 1e-2
 
 _SYMBOLS = b"#*$%&|<>^~{}[]\\=@_+"
 
@@ -56,6 +65,7 @@ def _class_table() -> np.ndarray:
     return t
 
 
+_GOLD = U(0x9E3779B97F4A7C15)
 _OWN = 9
 WIDTH = 1 + 3 * _OWN + 2
 
@@ -71,23 +81,26 @@ def line_features(words: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray
     size = np.diff(off)
     kinds = _class_table()[data]
     counts = np.zeros((8, len(size)))
+    long = np.flatnonzero(size)
     for k in range(1, 8):
-        total = np.concatenate([[0], np.cumsum(kinds == k)])
-        counts[k] = total[off[1:]] - total[off[:-1]]
+        if len(long):
+            counts[k][long] = np.add.reduceat((kinds == k).view(np.uint8), off[:-1][long], dtype=np.int64)
     h, wo = words.of(lines)
     n = np.diff(wo)
     line_of = np.repeat(np.arange(len(n), dtype=U), n)
     same = np.zeros(len(h))
     same[1:] = (h[1:] == h[:-1]) & (line_of[1:] == line_of[:-1])
     twice = np.bincount(line_of.astype(np.int64), same, len(n)) if len(h) else np.zeros(len(n))
-    distinct = np.bincount((np.unique((line_of << U(40)) | (h >> U(24))) >> U(40)).astype(np.int64), minlength=len(n)) if len(h) else np.zeros(len(n))
+    with np.errstate(over="ignore"):
+        _, once = np.unique(mix(line_of * _GOLD + h), return_index=True)
+    distinct = np.bincount(line_of[once].astype(np.int64), minlength=len(n))
     doc_of = np.repeat(np.arange(len(starts) - 1, dtype=U), np.diff(starts))
     print_of = np.zeros(len(n), dtype=U)
     with np.errstate(over="ignore"):
         some = np.flatnonzero(n > 0)
         if len(some):
             print_of[some] = np.add.reduceat(h, wo[:-1][some])
-    _, first, group = np.unique((doc_of << U(44)) | (print_of >> U(20)), return_index=True, return_inverse=True)
+        _, first, group = np.unique(mix(doc_of * _GOLD + print_of), return_index=True, return_inverse=True)
     seen = (first[group] < np.arange(len(n))) & (n > 0)
     length = np.maximum(size, 1)
     letters = np.maximum(counts[3] + counts[4], 1)
@@ -163,16 +176,18 @@ class Crf:
         return self.odds * mean / (self.odds * mean + 1 - mean)
 
 
-def train(x: np.ndarray, starts: np.ndarray, label: np.ndarray, steps: int = STEPS, decay: float = 1e-3) -> Crf:
-    """Gradient ascent (Adam) of the likelihood of all lines carrying their text's label."""
+def train(x: np.ndarray, starts: np.ndarray, label: np.ndarray, steps: int = STEPS, doubt: float = DOUBT) -> Crf:
+    """Gradient ascent (Adam) of the likelihood of the documents' labels, with the lines' own labels summed out."""
     crf = Crf(np.zeros(x.shape[1]), np.zeros((2, 2)))
     n = np.diff(starts)
-    y = np.repeat(label, n).astype(np.float64)
-    seen = np.array([[np.sum((n - 1)[label == 0]), 0], [0, np.sum((n - 1)[label == 1])]], dtype=np.float64)
+    lean = np.repeat(np.where(label == 1, 1.0, -1.0), n) * np.log((1 - doubt) / doubt)
+    decay = np.concatenate([np.full(x.shape[1], DECAY), np.full(4, MOVE_DECAY)])
     m = v = np.zeros(x.shape[1] + 4)
     for step in range(1, steps + 1):
-        good, pairs = crf.run(x @ crf.weights, starts, pairs=True)
-        grad = np.concatenate([x.T @ (y - good), (seen - pairs).ravel()]) / max(1, len(y))
+        unary = x @ crf.weights
+        good, pairs = crf.run(unary, starts, pairs=True)
+        told, told_pairs = crf.run(unary + lean, starts, pairs=True)
+        grad = np.concatenate([x.T @ (told - good), (told_pairs - pairs).ravel()]) / max(1, len(x))
         grad -= decay * np.concatenate([crf.weights, crf.moves.ravel()])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -181,12 +196,20 @@ def train(x: np.ndarray, starts: np.ndarray, label: np.ndarray, steps: int = STE
     return crf
 
 
+def stretch(n: int, doc_id: int | None) -> slice:
+    """All lines, or of more than ``TRAIN_LINES`` that many from where a hash of the id says."""
+    if n <= TRAIN_LINES:
+        return slice(0, n)
+    at = zlib.crc32(str(doc_id).encode()) % (n - TRAIN_LINES + 1)
+    return slice(at, at + TRAIN_LINES)
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for batch in batches:
         for part in parts(batch, 0):
             x, _, starts = line_features(words, part.column(0))
-            raw = [x[a:b].astype(np.float32).tobytes() if b - a <= TRAIN_LINES else b"" for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            raw = [x[a:b][stretch(b - a, i)].astype(np.float32).tobytes() for a, b, i in zip(starts[:-1], starts[1:], part.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(raw, pa.binary())], names=["doc_id", "label", "x"])
 
 
@@ -199,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf | None:
         share = F.when(F.col("label") == value, F.lit(min(1.0, sample / n))).otherwise(share)
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     # At most about two samples of ids, whatever the input: small enough to broadcast.
-    rows = pinned(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "label").mapInArrow(_lines, "doc_id long, label int, x binary").where(F.length("x") > 0).orderBy("doc_id", "x").collect()
+    rows = pinned(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "label").mapInArrow(_lines, "doc_id long, label int, x binary").orderBy("doc_id", "x").collect()
     if not rows:
         return None
     x = [np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH) for r in rows]

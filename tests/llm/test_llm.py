@@ -412,6 +412,84 @@ def test_forward_backward_matches_enumeration():
     assert np.allclose(got, want) and np.allclose(pairs, total)
 
 
+def brute_line_features(text):
+    """Measures of each line alone, in plain Python."""
+    lines = (text or "").split("\n")
+    bags = [collections.Counter(lower_words(x)) for x in lines]
+    out = []
+    for i, line in enumerate(lines):
+        raw, words = line.encode(), lower_words(line)
+        kind = lambda chars, raw=raw: sum(b in chars for b in raw)
+        upper, lower = kind(range(65, 91)), kind([*range(97, 123), *range(128, 256)])
+        n, size = max(1, len(words)), max(1, len(raw))
+        seen = bool(words) and bags[i] in bags[:i]
+        twice = sum(a == b for a, b in itertools.pairwise(words))
+        share = lambda count, times, size=size: min(1, times * count / size)
+        out.append([math.log1p(len(raw)) / 6, share(kind(quality_crf._SYMBOLS), 8), share(kind(range(48, 58)), 4), upper / max(1, upper + lower), share(kind(b"!?"), 8), share(kind(b".,;:"), 8), min(2, len(raw) / n / 10), 1 - len(set(words)) / n, max(seen, min(1, 2 * twice / n))])
+    return out
+
+
+def test_line_features_match_plain_python():
+    rng = random.Random(5)
+    texts = [None, "", "\n", "a a b!\nB a A!\n\n# 12% é; é:\nb a a", "x\n" * 30] + ["\n".join(prose(rng, rng.randrange(0, 12), 6) + rng.choice(["", "?", " #*", " 99"]) for _ in range(rng.randrange(1, 9))) for _ in range(40)]
+    x, size, starts = quality_crf.line_features(Words(), pa.array(texts, pa.string()))
+    own = quality_crf._OWN
+    for t, a, b in zip(texts, starts[:-1], starts[1:], strict=True):
+        want = np.array(brute_line_features(t))
+        assert np.allclose(x[a:b, 1 : 1 + own], want, atol=1e-6), t
+        around = np.vstack([np.zeros(own), want, np.zeros(own)])
+        assert np.allclose(x[a:b, 1 + own : 1 + 2 * own], around[:-2], atol=1e-6) and np.allclose(x[a:b, 1 + 2 * own : 1 + 3 * own], around[2:], atol=1e-6)
+        assert x[a:b, -2].tolist() == [0] + [1] * (b - a - 1) and x[a:b, -1].tolist() == [1] * (b - a - 1) + [0] and (x[a:b, 0] == 1).all()
+        assert size[a:b].tolist() == [len(v.encode()) for v in (t or "").split("\n")]
+
+
+def kinds_of_lines(seed=3):
+    rng = random.Random(seed)
+    good = lambda: f"{prose(rng, 12).capitalize()}."
+    bad = lambda: " ".join(rng.choice(["$$$", "###", "99", "|"]) for _ in range(12))
+    return rng, good, bad
+
+
+def test_scores_match_enumeration(spark, monkeypatch):
+    """The query's scores from a field found by training, with marginals by summing over all labellings in plain Python."""
+    monkeypatch.setattr(quality_crf, "STEPS", 30)
+    rng, good, bad = kinds_of_lines()
+    rows = [(i, "\n".join((good if rng.random() < (0.9 if i % 2 else 0.2) else bad)() for _ in range(rng.randrange(1, 7)))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    crf = quality_crf.fit(docs.withColumn("held_out", quality_crf.held_out()), labels.where(~quality_crf.held_out()))
+    got = {r.doc_id: r for r in quality_crf.classify(docs, labels).collect()}
+    for i, text in rows:
+        x, size, _ = quality_crf.line_features(Words(), pa.array([text]))
+        u, total, mean = x @ crf.weights, 0.0, 0.0
+        weight = (size + 1.0) / (size + 1.0).sum()
+        for y in itertools.product((0, 1), repeat=len(u)):
+            p = math.exp(sum(a * b for a, b in zip(u, y, strict=True)) + sum(crf.moves[a, b] for a, b in itertools.pairwise(y)))
+            total, mean = total + p, mean + p * float(weight @ np.array(y))
+        mean /= total
+        assert abs(got[i].score - crf.odds * mean / (crf.odds * mean + 1 - mean)) < 1e-6
+
+
+def test_a_mixed_document_has_mixed_lines():
+    """Labels are of documents; lines of either kind are told apart where both stand in one."""
+    rng, good, bad = kinds_of_lines()
+    texts, label = [], []
+    for i in range(200):
+        texts.append("\n".join((good if rng.random() < (0.95 if i % 2 else 0.05) else bad)() for _ in range(8)))
+        label.append(i % 2)
+    x, _, starts = quality_crf.line_features(Words(), pa.array(texts))
+    crf = quality_crf.train(x, starts, np.array(label))
+    x, _, starts = quality_crf.line_features(Words(), pa.array(["\n".join([good() for _ in range(6)] + [bad() for _ in range(6)])]))
+    marginal = crf.run(x @ crf.weights, starts)[0]
+    assert marginal[:5].min() > 0.8 and marginal[7:].max() < 0.2
+
+
+def test_long_documents_lend_a_stretch():
+    assert quality_crf.stretch(300, 1) == slice(0, 300)
+    cut = [quality_crf.stretch(1000, i) for i in range(200)]
+    assert all(c.stop - c.start == 300 and 0 <= c.start <= 700 for c in cut) and len({c.start for c in cut}) > 100
+
+
 def test_quality_on_held_out_rows(spark):
     sf = SF.replace("0.001", "0.01")
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -440,6 +518,32 @@ def test_escaping_and_rendering_round_trip(turns):
     assert [s.start for s in r.spans[1:]] == [s.end for s in r.spans[:-1]]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "", "[ROLE]", "a\\b"]), st.text(alphabet="[]<>/\\sINSTROLE ok\n\x01", max_size=30)), max_size=6))
+def test_turns_are_read_back_from_the_output_alone(turns):
+    r = chat_format.render(turns)
+    read = chat_format.read_default(r.text)
+    assert [(s.role, chat_format.unescape(r.text[s.text_start : s.text_end])) for s in read] == turns and tuple(read) == r.spans
+
+
+def test_a_template_that_swaps_roles_or_drops_turns_changes_the_digest(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c")], "conv_id long, turn long, role string, text string")
+    plain = chat_format.format_conversations(rows).first()
+
+    def swapped(turns):
+        return chat_format.default_template([({"user": "assistant", "assistant": "user"}.get(r, r), t) for r, t in turns])
+
+    def doubled(turns):
+        return chat_format.default_template([x for x in turns for _ in range(2)])
+
+    other = chat_format.format_conversations(rows, swapped).first()
+    assert other.turns_sha256 == hashlib.sha256(b"assistant\na\nuser\nb\nassistant\nc\n").hexdigest() != plain.turns_sha256
+    assert other.loss_chars == 2 and plain.loss_chars == 1 and not other.rewrites and not plain.rewrites
+    twice = chat_format.format_conversations(rows, doubled).first()
+    assert twice.n_turns == 6 and twice.rewrites and twice.turns_sha256 != plain.turns_sha256
+    assert chat_format.read_default("no turn") is None
+
+
 def test_a_template_that_rewrites_history_is_detected():
     def last_only(turns):
         return f"{len(turns)} turns, last: {turns[-1][1]}." if turns else ""
@@ -573,6 +677,7 @@ def test_propagation_matches_matrix_iteration(spark):
     t0, d0 = t.copy(), d.copy()
     for _ in range(7):
         t, d = 0.15 * t0 + 0.85 * t @ forth, 0.15 * d0 + 0.85 * d @ back
+    t, d = t / t.sum(), d / d.sum()
     e = spark.createDataFrame([(str(a), str(b), n) for (a, b), n in edges.items()], "src string, dst string, weight long")
     seeds = spark.createDataFrame([(str(i), int(good[i]), int(bad[i])) for i in range(12)], "host string, good long, bad long")
     got = {int(r.host): (r.trust, r.distrust) for r in url_filter.propagate(e, seeds, steps=7).collect()}
@@ -594,6 +699,36 @@ def test_ranks_settle_on_a_long_chain(spark):
     assert sorted(got) == list(range(n)) and np.abs([got[i] - want[i] for i in range(n)]).sum() <= url_filter.TOLERANCE / n
 
 
+def test_dangling_hosts_give_back_to_the_seeds(spark):
+    """A star whose leaves link nowhere, and a chain: equal to the iteration that returns their mass, and nothing vanishes."""
+    pairs = [(0, i) for i in range(1, 5)] + [(4, 5), (5, 6)]
+    n = 7
+    good, bad = np.zeros(n), np.zeros(n)
+    good[0], bad[6], bad[2] = 1, 1, 1
+    w = np.zeros((n, n))
+    for a, b in pairs:
+        w[a, b] = 1
+    want = []
+    for m, start in ((w, good / good.sum()), (w.T, bad / bad.sum())):
+        out = m.sum(axis=1)
+        step = np.where(out[:, None] > 0, m / np.maximum(out, 1)[:, None], start[None, :])
+        x = start.copy()
+        for _ in range(500):
+            x = 0.15 * start + 0.85 * x @ step
+        want.append(x)
+    e = spark.createDataFrame([(str(a), str(b), 1) for a, b in pairs], "src string, dst string, weight long")
+    seeds = spark.createDataFrame([(str(i), int(good[i]), int(bad[i])) for i in range(n)], "host string, good long, bad long")
+    got = {int(r.host): (r.trust, r.distrust) for r in url_filter.propagate(e, seeds).collect()}
+    assert np.allclose([got[i] for i in range(n)], np.array(want).T, atol=1e-4) and abs(sum(t for t, _ in got.values()) - 1) < 1e-9
+
+
+def test_ties_stop_at_the_registrable_domain(spark):
+    hosts = ["a.b.example.com", "shop.co.uk", "www.shop.co.uk", "other.co.uk", "me.github.io", "x.me.github.io", "test"]
+    edges = {(r.src, r.dst) for r in url_filter.edges_of(spark.createDataFrame([(h, None) for h in hosts], "host string, html string")).collect()}
+    up = {("example.com", "b.example.com"), ("b.example.com", "a.b.example.com"), ("shop.co.uk", "www.shop.co.uk"), ("me.github.io", "x.me.github.io")}
+    assert edges == up | {(b, a) for a, b in up}
+
+
 def test_links_between_hosts_spread_distrust(spark):
     rows = [(0, "http://bad.com/de/x", '<a href="http://x.test/">', 1)] + [(i, f"http://s{i}.net/p", '<a HREF=\'//bad.com/q\'> <a href="/own">' if i < 4 else "<p>", 1) for i in range(1, 12)]
     got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string, src int")).collect()}
@@ -630,6 +765,23 @@ def test_mixing_keeps_to_its_targets_and_edges(spark, odd_docs, no_docs):
     assert mixing.mix(odd_docs.where("text is null")).collect()[0].taken == 0
 
 
+def test_null_ids_and_repeated_rows_spread(spark, monkeypatch):
+    """A third of the rows without an id, and one row a thousand times: slices stay small, and the mix is the SQL's."""
+    monkeypatch.setattr(mixing, "ROWS_PER_SLICE", 50)
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    rng = random.Random(3)
+    rows = [(None, prose(rng, rng.randrange(1, 40)), "a") for _ in range(600)] + [(5, "the same row", "b")] * 700 + [(7, None, "a")] * 100 + [(i, prose(rng, 20), "c") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keys = [r.key for r in mixing.sizes(df.where("doc_id is null")).collect()]
+    assert len(set(keys)) > 590 and max(collections.Counter(k[:1] for k in keys).values()) < 80
+    got = mixing.mix(df).toPandas()
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    want = con.execute(queries.ORACLES["op9_mixing"]).df()
+    key = lambda f: sorted(map(str, f[["doc_id", "size", "source_size", "target", "taken"]].astype(float).values.tolist()))
+    assert key(got) == key(want) and len(got) == len(rows)
+
+
 # --- 10 quality rules ----------------------------------------------------
 
 
@@ -663,9 +815,38 @@ def test_cascade_keeps_what_annotate_keeps(spark, odd_docs, no_docs):
     assert gain == sorted(gain, reverse=True) and len(ordered) == len(quality_rules.RULES)
 
 
+def test_later_rules_never_see_rejected_rows(spark):
+    """A rule that fails on every row the first one rejects: no error, so it was not evaluated there."""
+    few = quality_rules.Rule("few", lambda f: f.n_words < 50)
+    boom = quality_rules.Rule("boom", lambda f: F.when(f.n_words < 50, F.raise_error(F.lit("evaluated")).cast("boolean")).otherwise(f.n_lines > 10**6))
+    ordered = [(few, 1.0, 0.5), (boom, 1.0, 0.0)]
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, prose(rng, 10 + 60 * (i % 2))) for i in range(40)], "doc_id long, text string")
+    rows = quality_rules.counted(docs, "doc_id")
+    said = rows.select(quality_rules.verdict(ordered, quality_rules.Counted(F.col("text"), F.lit(None))).alias("v")).collect()
+    assert collections.Counter(r.v for r in said) == {"few": 20, None: 20}
+    assert docs.where(quality_rules.verdict(ordered, quality_rules.features_of(docs)).isNull()).count() == 20
+    with pytest.raises(Exception, match="evaluated"):
+        docs.where(quality_rules.verdict(ordered[::-1], quality_rules.features_of(docs)).isNull()).count()
+
+
 # --- pipeline ------------------------------------------------------------
 
 
+def test_pipeline_edges(spark, tmp_path, odd_docs, no_docs):
+    """Empty, null and clashing-column tables, rows that share an id, and no benchmark."""
+    import corpus_pipeline
+
+    rng = random.Random(1)
+    good = [prose(rng, 80, 10**6) for _ in range(3)]
+    some = spark.createDataFrame([(1, good[0], "en", "a", 1, 0), (1, good[1], "en", "a", 1, 0), (None, good[2], None, None, None, None), (2, good[0], "en", "b", 1, 0), (3, None, "en", "a", 0, 0)], DOC + ", node long")
+    for name, docs, items, rows in (("odd", odd_docs, [(1, "a b c d e f")], 1), ("none", no_docs, [(1, "a b c d e f")], 0), ("null", odd_docs.where("text is null"), [], 0), ("some", some, [(1, None)], 3)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.columns == ["doc_id", "size", "source_size", "target", "taken"] and out.count() == rows, name
+
+
 def test_pipeline_stages_match_brute_force(spark):
     import corpus_pipeline
 
@@ -690,7 +871,10 @@ def test_pipeline_stages_match_brute_force(spark):
         for a, _, b in sorted(brute_base(t) + brute_entropy(t, brute_base(t))):
             want, at = want + t[at:a] + "[secret]" * (a >= at), max(at, b)
         assert steps[3][i] == want + t[at:]
-    assert corpus_pipeline.run(spark, SF).count() == len(steps[3])
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(i, t, rows[i].source) for i, t in steps[3].items()], columns=["doc_id", "text", "source"]))
+    key = lambda f: sorted(map(tuple, f[["doc_id", "size", "source_size", "target", "taken"]].astype(float).values.tolist()))
+    assert key(corpus_pipeline.run(spark, SF).toPandas()) == key(con.execute(queries.ORACLES["op9_mixing"]).df())
 
 
 def test_sql_of_registered_queries(spark):
