@@ -3,6 +3,8 @@
 Both models are bigram models of words (full 64-bit word hashes, 0 is the
 start of a text) with the same vocabulary, the same smoothing and the same
 prior: p(w|h) = (c(hw) + K p(w)) / (c(h) + K), p(w) = (c(w) + 1/2) / (N + V/2).
+A row's own occurrences are left out of the background's counts c (not of its
+size N), so a text is not its own evidence, and one that occurs twice shows.
 V is the number of distinct words of both corpora, counted exactly, and never
 less than ``CLASSES``: a small corpus leaves room for words not seen.
 The background is the whole corpus to be scored, the target any other table of
@@ -50,12 +52,14 @@ HOT = 1 / 20_000
 #: Documents on which frequent bigrams are looked for: one of so many, by hash.
 HOT_SAMPLE = 32
 TOKENS_PER_PARTITION = 2_000_000
+#: A partition holds 2 million tokens up to 2e12 tokens (some 10 TB), and 20 million (about half a GB) at ten times that.
+MOST_PARTITIONS = 1 << 20
 BLOCK_BYTES = 1 << 22
 
 START, END = U(0), U(0xFFFFFFFFFFFFFFFF)
 
 _COUNTS = "kind int, key long, target long, background long"
-_CELL = "part int, block long, is_target boolean, words binary, runs binary, keys binary, counts binary, places binary, docs binary, local binary"
+_CELL = "part int, block long, is_target boolean, words binary, runs binary, keys binary, counts binary, places binary, docs binary, local binary, own binary"
 _SUMS = "block long, docs binary, sums binary"
 
 
@@ -72,14 +76,6 @@ def tokens(words: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
     return w, history, np.repeat(np.arange(len(n)), n), last
 
 
-def bigrams(words: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a small vocabulary as 16-bit classes: class of every word, key of its bigram (history << 16 | class), and the index of its text."""
-    w, history, doc, _ = tokens(words, texts)
-    c = np.maximum(w >> U(48), U(1))
-    before = np.where(history == START, START, np.maximum(history >> U(48), U(1)))
-    return c.astype(np.int64), ((before << U(16)) | c).astype(np.uint32), doc
-
-
 def pair(history: np.ndarray, w: np.ndarray) -> np.ndarray:
     """64-bit key of a bigram."""
     with np.errstate(over="ignore"):
@@ -143,36 +139,35 @@ def _distinct_here(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"n": pa.array([len(np.unique(np.frombuffer(b"".join(table.column("words").to_pylist()), U)))], pa.int64())})
 
 
-class Model:
-    """Counts of a small vocabulary, dense by class, and the loss of its bigrams: the formula in its plain form."""
+def packed(x: np.ndarray) -> bytes:
+    """Small counts in as few bytes each as the largest needs, after a byte that says how many."""
+    width = 1 if x.max(initial=0) < 1 << 8 else 2 if x.max() < 1 << 16 else 4
+    return bytes([width]) + x.astype(f"u{width}").tobytes()
+
 
-    def __init__(self, one: np.ndarray, hot: np.ndarray, two: np.ndarray) -> None:
-        self.history = one.astype(np.float64)
-        tokens = one[:, 1:].sum(axis=1, keepdims=True)
-        self.prior = (one + 0.5) / (tokens + 0.5 * CLASSES)
-        self.hot = hot
-        self.hot_loss = self.loss(hot, two)
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1) if raw else np.empty(0, np.uint8)
 
-    def loss(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Bits that each model pays for the last word of each bigram: (2, keys), target first."""
-        w, h = (keys & np.uint32(0xFFFF)).astype(np.int64), (keys >> np.uint32(16)).astype(np.int64)
-        return -np.log2((counts + KAPPA * self.prior[:, w]) / (self.history[:, h] + KAPPA))
+
+def occurrences(doc: np.ndarray, thing: np.ndarray, n: int) -> np.ndarray:
+    """How often each token's thing (below n) is in its document."""
+    _, each, count = np.unique(doc * max(1, n) + thing, return_inverse=True, return_counts=True)
+    return count[each]
 
 
 class Frequent:
     """What every block knows: totals of both corpora, target first, and exact counts of the frequent words and bigrams."""
 
     def __init__(self, total: np.ndarray, vocabulary: int, hot_words: np.ndarray, one: np.ndarray, hot: np.ndarray, ends: np.ndarray, two: np.ndarray) -> None:
-        self.mass = total[:, :1] + 0.5 * vocabulary
-        self.start = np.log2(total[:, 1] + KAPPA)
+        self.mass = (total[:, 0] + 0.5 * vocabulary).astype(np.float64)
+        # A text is left out of the background, its start too.
+        self.start = np.log2(np.array([total[0, 1], max(0, total[1, 1] - 1)]) + KAPPA)
         self.words, self.counts = hot_words, one
-        self.follow = np.log2(one + KAPPA)
-        self.hot = hot
-        self.hot_loss = self.loss(two, one[:, np.searchsorted(hot_words, ends)])
+        self.hot, self.pairs, self.ends = hot, two, np.searchsorted(hot_words, ends)
 
-    def loss(self, pairs: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """-log2(c(hw) + K p(w)) of bigrams' counts and counts of their last words: (2, bigrams)."""
-        return -np.log2(pairs + KAPPA * (last + 0.5) / self.mass)
+    def loss(self, side: int, pairs: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """-log2(c(hw) + K p(w)) of bigrams' counts and counts of their last words."""
+        return -np.log2(pairs + KAPPA * (last + 0.5) / self.mass[side])
 
 
 def _cells(is_target: bool, partitions: int, shared):
@@ -185,46 +180,58 @@ def _cells(is_target: bool, partitions: int, shared):
                 is_hot, at = place_in(model.words, w)
                 key = pair(history, w)
                 here, spot = place_in(model.hot, key)
-                local = np.zeros((3, len(part)))
                 goes_on = is_hot & ~last
-                for row in range(2):
-                    local[row] = np.bincount(doc[here], model.hot_loss[row][spot[here]], len(part)) + np.bincount(doc[goes_on], model.follow[row][at[goes_on]], len(part)) + np.bincount(doc[history == START], minlength=len(part)) * model.start[row]
+                starts = np.bincount(doc[history == START], minlength=len(part))
+                own = np.zeros(len(w), np.int64)
+                own[is_hot] = occurrences(doc[is_hot], at[is_hot], len(model.words))
+                twin = occurrences(doc[here], spot[here], len(model.hot))
+                local = np.zeros((3, len(part)))
+                for side, out, out_twin in ((0, np.zeros_like(own), np.zeros_like(twin)), (1, own, twin)):
+                    if len(model.words):
+                        follow = np.log2(model.counts[side][at[goes_on]] - out[goes_on] + KAPPA)
+                        local[side] += np.bincount(doc[goes_on], follow, len(part))
+                    if len(model.hot):
+                        cost = model.loss(side, model.pairs[side][spot[here]] - out_twin, model.counts[side][model.ends[spot[here]]] - out[here])
+                        local[side] += np.bincount(doc[here], cost, len(part))
+                    local[side] += starts * model.start[side]
                 local[2] = np.bincount(doc[here], minlength=len(part))
                 # The last word of a text is no history: a mark with it takes one back, where the word's owner sums.
                 marks = np.flatnonzero(last & ~is_hot) if not is_target else np.empty(0, np.int64)
                 away = np.flatnonzero(~here)
                 hot = np.concatenate([is_hot[away], np.zeros(len(marks), dtype=bool)])
+                own = np.concatenate([own[away], np.zeros(len(marks), np.int64)])
                 history = np.concatenate([history[away], np.full(len(marks), END)])
                 key = np.concatenate([key[away], pair(np.full(len(marks), END), w[marks])])
                 w, doc = np.concatenate([w[away], w[marks]]), np.concatenate([doc[away], doc[marks]])
                 owner = np.where(hot, key, mix(w)) % U(partitions)
                 place = np.zeros(len(doc), U) if is_target else doc.astype(U)
                 order = np.lexsort((place, history, w, owner))
-                w, history, place, owner = w[order], history[order], place[order], owner[order].astype(np.int64)
+                w, history, place, owner, hot, own = w[order], history[order], place[order], owner[order].astype(np.int64), hot[order], own[order]
                 new_word = np.ones(len(w), dtype=bool)
                 new_word[1:] = (w[1:] != w[:-1]) | (owner[1:] != owner[:-1])
                 new = new_word.copy()
                 new[1:] |= (history[1:] != history[:-1]) | (place[1:] != place[:-1])
                 first = np.flatnonzero(new)
                 n = np.diff(np.append(first, len(w)))
-                w, history, place, own, new_word = w[first], history[first], place[first], owner[first], new_word[first]
+                w, history, place, owner, new_word, hot, own = w[first], history[first], place[first], owner[first], new_word[first], hot[first], own[first]
                 heads = np.flatnonzero(new_word)
                 runs = np.diff(np.append(heads, len(w)))
-                some = np.unique(own)
+                some = np.unique(owner)
                 if not is_target:
                     some = np.union1d(some, [block % partitions])  # the block's documents travel with one cell, even where it has no bigram
-                lo, hi = np.searchsorted(own, some), np.searchsorted(own, some, side="right")
+                lo, hi = np.searchsorted(owner, some), np.searchsorted(owner, some, side="right")
                 head_lo, head_hi = np.searchsorted(heads, lo), np.searchsorted(heads, hi)
-                cols: list[list] = [[] for _ in range(7)]
+                cols: list[list] = [[] for _ in range(8)]
                 for p, a, b, c, d in zip(some, lo, hi, head_lo, head_hi, strict=True):
                     own_docs = not is_target and p == block % partitions
                     cols[0].append(w[heads[c:d]].tobytes())
-                    cols[1].append(runs[c:d].astype(np.uint32).tobytes())
+                    cols[1].append(packed(runs[c:d]))
                     cols[2].append(history[a:b].tobytes())
-                    cols[3].append(n[a:b].astype(np.uint32).tobytes())
+                    cols[3].append(packed(n[a:b]))
                     cols[4].append(place[a:b].astype(np.uint16).tobytes())
                     cols[5].append(np.array([x if x is not None else 0 for x in part.column(1).to_pylist()], np.int64).tobytes() + np.array(part.column(1).is_valid(), dtype=np.uint8).tobytes() if own_docs else b"")
                     cols[6].append(local.tobytes() if own_docs else b"")
+                    cols[7].append(b"" if is_target else packed(own[a:b][hot[a:b]]))
                 yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), block, np.int64)), pa.array(np.full(len(some), is_target)), *[pa.array(c, pa.binary()) for c in cols]], names=[x.split()[0] for x in _CELL.split(", ")])
                 block += 1
 
@@ -236,7 +243,8 @@ def _answer(shared):
         model: Frequent = shared.value
         rows = table.to_pydict()
         load = lambda name, kind: [np.frombuffer(x, kind) for x in rows[name]]
-        runs, history, n, places = load("runs", np.uint32), load("keys", U), load("counts", np.uint32), load("places", np.uint16)
+        history, places = load("keys", U), load("places", np.uint16)
+        runs, n, own = ([unpacked(x) for x in rows[name]] for name in ("runs", "counts", "own"))
         words, head = np.unique(np.concatenate(load("words", U)), return_inverse=True)
         last = np.repeat(head, np.concatenate(runs).astype(np.int64))
         before, often = np.concatenate(history), np.concatenate(n).astype(np.float64)
@@ -250,19 +258,26 @@ def _answer(shared):
             two[s] = np.bincount(each[mine], often[mine], len(some))
         is_hot, at = place_in(model.words, words)
         one[:, is_hot] = model.counts[:, at[is_hot]]
-        follow = np.where(is_hot, 0.0, np.log2(one + KAPPA))
         blocks, docs, sums = [], [], []
         a = 0
-        for block, target, ids, local, p in zip(rows["block"], rows["is_target"], rows["docs"], rows["local"], places, strict=True):
+        for block, target, ids, local, p, told in zip(rows["block"], rows["is_target"], rows["docs"], rows["local"], places, own, strict=True):
             e, w, r, c = each[a : a + len(p)], last[a : a + len(p)], real[a : a + len(p)], often[a : a + len(p)]
             a += len(p)
             if target:
                 continue
-            loss = np.where(r, model.loss(two[:, e], one[:, w]) + follow[:, w], -follow[:, w])
+            # What the document itself adds to a word: told of frequent words, else all its bigrams that end in it are here.
+            _, group = np.unique(w * (1 << 16) + p, return_inverse=True)
+            out = np.bincount(group, c * r)[group] if len(p) else np.empty(0)
+            hot = is_hot[w]
+            out[hot] = told
+            cost = []
+            for side, mine, pairs in ((0, one[0, w], two[0, e]), (1, one[1, w] - out, two[1, e] - c * r)):
+                follow = np.where(hot, 0.0, np.log2(mine + KAPPA))
+                cost.append(np.where(r, model.loss(side, np.where(r, pairs, 0.0), mine) + follow, -follow))
             found, spot = np.unique(p, return_inverse=True)
             blocks.append(block)
             docs.append(ids)
-            part = np.concatenate([found.astype(np.float32), *[np.bincount(spot, c * v, len(found)).astype(np.float32) for v in (loss[0], loss[1], r)]])
+            part = np.concatenate([found.astype(np.float32), *[np.bincount(spot, c * v, len(found)).astype(np.float32) for v in (*cost, r)]])
             sums.append(np.int64(len(local)).tobytes() + local + part.tobytes())
         return pa.table({"block": pa.array(blocks, pa.int64()), "docs": pa.array(docs, pa.binary()), "sums": pa.array(sums, pa.binary())})
 
@@ -306,7 +321,7 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     for row in seen:
         counted[row["kind"]][:, row["key"]] = row["t"], row["b"]
     total, one, two = counted
-    partitions = int(min(1 << 16, max(1, total[1, 0] // TOKENS_PER_PARTITION)))
+    partitions = int(min(MOST_PARTITIONS, max(1, total[1, 0] // TOKENS_PER_PARTITION)))
     each = texts.select("text").unionAll(own).mapInArrow(_distinct(partitions), "part int, words binary").groupBy("part").applyInArrow(_distinct_here, "n long")
     vocabulary = max(CLASSES, each.agg(F.sum("n")).first()[0] or 0)
     shared = share(spark, Frequent(total, vocabulary, hot_words, one, hot, ends, two))

@@ -566,21 +566,21 @@ def test_chat_edges(spark):
 
 
 def brute_losses(docs, target):
-    words = Words()
-    one = []
-    pairs = []
+    """Counts of true words; the background leaves out each document's own."""
+    models = []
     for texts in (target, docs):
-        w, keys, doc = lm_score.bigrams(words, pa.array(texts, pa.string()))
-        c = np.bincount(w, minlength=lm_score.CLASSES)
-        c[0] = len(set(doc.tolist()))
-        one.append(c)
-        pairs.append(collections.Counter(keys.tolist()))
-    model = lm_score.Model(np.stack(one), np.empty(0, np.uint32), np.zeros((2, 0)))
+        bags = [lower_words(t) for t in texts]
+        models.append((collections.Counter(x for w in bags for x in w), collections.Counter(p for w in bags for p in zip(["", *w], w)), sum(map(len, bags)), sum(map(bool, bags))))
+    vocabulary = max(lm_score.CLASSES, len({*models[0][0], *models[1][0]}))
     out = []
     for t in docs:
-        _, keys, _ = lm_score.bigrams(words, pa.array([t], pa.string()))
-        loss = model.loss(keys, np.array([[p[int(k)] for k in keys] for p in pairs]).reshape(2, -1))
-        out.append((len(keys), *(loss.mean(axis=1) if len(keys) else (None, None))))
+        words = lower_words(t)
+        own, twin = collections.Counter(words), collections.Counter(zip(["", *words], words))
+        losses = []
+        for k, (w, pairs, n, starts) in enumerate(models):
+            prior = lambda x, w=w, n=n, k=k: (w[x] - k * own[x] + 0.5) / (n + 0.5 * vocabulary)
+            losses.append([-math.log2((pairs[h, x] - k * twin[h, x] + lm_score.KAPPA * prior(x)) / ((w[h] - k * own[h] if h else starts - k) + lm_score.KAPPA)) for h, x in zip(["", *words], words)])
+        out.append((len(words), *(sum(x) / len(words) if words else None for x in losses)))
     return out
 
 
@@ -616,20 +616,19 @@ def test_words_of_one_hash_class_stay_apart(spark, monkeypatch, hot, tokens):
     rng = random.Random(4)
     docs = [" ".join(rng.choice(often if rng.random() < 0.9 else seldom) for _ in range(60)) for _ in range(40)] + [" ".join(seldom)]
     target = [" ".join(rng.choice(often) for _ in range(80)) for _ in range(5)]
-    models = []
-    for texts in (target, docs):
-        w, h = collections.Counter(x for t in texts for x in t.split()), collections.Counter(p for t in texts for p in zip(["", *t.split()], t.split()))
-        models.append((w, h, sum(w.values()), len(texts)))
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame([(t,) for t in target], "text string")).collect()}
+    for i, (n, t, b) in enumerate(brute_losses(docs, target)):
+        assert got[i].n_tokens == n and abs(got[i].loss_target - t) < 1e-3 and abs(got[i].loss_background - b) < 1e-3
 
-    def loss(model, text):
-        w, pairs, n, starts = model
-        words = text.split()
-        prior = lambda x: (w[x] + 0.5) / (n + 0.5 * max(lm_score.CLASSES, len(set(names))))
-        return sum(-math.log2((pairs[h, x] + lm_score.KAPPA * prior(x)) / ((w[h] if h else starts) + lm_score.KAPPA)) for h, x in zip(["", *words], words)) / len(words)
 
-    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame([(t,) for t in target], "text string")).collect()}
-    for i, t in enumerate(docs):
-        assert abs(got[i].loss_target - loss(models[0], t)) < 1e-3 and abs(got[i].loss_background - loss(models[1], t)) < 1e-3
+def test_a_text_that_occurs_twice_stands_apart(spark):
+    rng = random.Random(6)
+    docs = [prose(rng, 80, 3000) for _ in range(120)]
+    rows = list(enumerate([*docs, *docs[:20]]))
+    got = {r.doc_id: r.score for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(prose(rng, 500, 3000),)], "text string")).collect()}
+    twice = [got[i] for i in (*range(20), *range(120, 140))]
+    once = [got[i] for i in range(20, 120)]
+    assert min(twice) > max(once)
 
 
 def test_lm_edges(spark, odd_docs, no_docs):
