@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import pickle
 import threading
 from collections.abc import Iterator
 from dataclasses import dataclass, field, fields, replace
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import AlreadyExists, FailedPrecondition, InvalidArgument, NotFound, Unavailable
+from ..plans.reduce import PARTIAL, collect_sums, partial
 from ..plans.shared import share
 from .exact import matrix
 from .ivf import IvfModel, encode, encode_rows, nearest, postings_of
@@ -111,6 +111,21 @@ class BatchSums:
     def __add__(self, other: BatchSums) -> BatchSums:
         return BatchSums(*(getattr(self, f.name) + getattr(other, f.name) for f in fields(self)))
 
+    def packed(self) -> np.ndarray:
+        """One row a word: n, sum, error sum; then one a subspace: error, energy; then one: ratio sum, rows."""
+        m, words, width = self.total.shape
+        out = np.zeros((m * words + m + 1, 1 + 2 * width))
+        out[: m * words] = np.concatenate([self.n[:, :, None], self.total, self.err], axis=2).reshape(m * words, -1)
+        out[m * words : -1, :2] = np.stack([self.sub_err, self.sub_energy], axis=1)
+        out[-1, :2] = self.ratio_sum, self.rows
+        return out
+
+    @classmethod
+    def unpacked(cls, x: np.ndarray, model: IvfModel) -> BatchSums:
+        m, words, width = model.codebooks.shape
+        word = x[: m * words].reshape(m, words, -1)
+        return cls(np.rint(word[:, :, 0]).astype(np.int64), word[:, :, 1 : 1 + width], word[:, :, 1 + width :], x[m * words : -1, 0], x[m * words : -1, 1], float(x[-1, 0]), int(round(x[-1, 1])))
+
     @classmethod
     def zero(cls, model: IvfModel) -> BatchSums:
         m, words, _ = model.codebooks.shape
@@ -142,20 +157,17 @@ def _sum_kernel(shared, coded: bool, eps: float):
                 x = matrix(batch.column(0))
                 lists = batch.column(1).to_numpy().astype(np.int64) if coded else nearest(x, model.centroids)[0]
                 out = out + sums(x, lists, matrix(batch.column(2)).astype(np.int64) if coded else None, model, eps)
-        if out.rows:
-            yield pa.RecordBatch.from_arrays([pa.array([out.rows]), pa.array([pickle.dumps(tuple(getattr(out, f.name) for f in fields(out)))], pa.binary())], names=["rows", "sums"])
+        yield partial(out.packed())
 
     return run
 
 
 def batch_sums(rows: DataFrame, model: IvfModel, eps: float = 1e-6, coded: bool = False) -> BatchSums:
-    """Sums over a DataFrame of x, and of list_id and code if ``coded``: one partial sum a task, added in a fixed order."""
+    """Sums over a DataFrame of x, and of list_id and code if ``coded``: tasks' sums are added on executors, one row a word reaches the driver."""
     shared = share(rows.sparkSession, model)
-    parts = rows.select(*(["x", "list_id", "code"] if coded else ["x"])).mapInArrow(_sum_kernel(shared, coded, eps), "rows long, sums binary").orderBy("rows", "sums").collect()
-    out = BatchSums.zero(model)
-    for p in parts:
-        out = out + BatchSums(*pickle.loads(bytes(p["sums"])))
-    return out
+    parts = rows.select(*(["x", "list_id", "code"] if coded else ["x"])).mapInArrow(_sum_kernel(shared, coded, eps), PARTIAL)
+    m, words, width = model.codebooks.shape
+    return BatchSums.unpacked(collect_sums(parts, m * words + m + 1, 1 + 2 * width), model)
 
 
 def top_fraction(ratio: float, total: int) -> int:

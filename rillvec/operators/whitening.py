@@ -12,8 +12,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import FailedPrecondition, InvalidArgument, NotFound
+from ..plans.reduce import PARTIAL, collect_sums, partial
 from .exact import matrix
 
 
@@ -39,28 +41,24 @@ class Moments:
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n, total, outer = 0, None, None
+    total = None
     for batch in batches:
         if len(batch):
             x = matrix(batch.column(0))
-            n += len(x)
-            total = x.sum(axis=0) + (0 if total is None else total)
-            outer = x.T @ x + (0 if outer is None else outer)
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary()), pa.array([outer.tobytes()], pa.binary())], names=["n", "total", "outer"])
+            x = np.hstack([np.ones((len(x), 1)), x])
+            total = x.T @ x + (0 if total is None else total)
+    if total is not None:
+        yield partial(total)
 
 
 def moments(df: DataFrame, column: str = "x") -> Moments:
-    """One partial sum a task, added on the driver in a fixed order."""
-    parts = df.select(column).mapInArrow(_moments, "n long, total binary, outer binary").orderBy("n", "total").collect()
-    if not parts:
+    """Number, sum and sum of outer products: the products of rows with a leading 1, added on executors row by row of the matrix."""
+    first = df.select(F.size(column)).first()
+    if first is None:
         raise InvalidArgument("no rows to fit on")
-    out = None
-    for p in parts:
-        t = np.frombuffer(p["total"])
-        m = Moments(p["n"], t, np.frombuffer(p["outer"]).reshape(len(t), -1))
-        out = m if out is None else out + m
-    return out
+    side = first[0] + 1
+    total = collect_sums(df.select(column).mapInArrow(_moments, PARTIAL), side, side)
+    return Moments(int(round(total[0, 0])), total[0, 1:], total[1:, 1:])
 
 
 @dataclass(frozen=True)
