@@ -48,7 +48,7 @@ def trained(spark: SparkSession, d: str, nlist: int = 16) -> tuple[ivf.IvfModel,
     """A trained PQ index of every row: 16 lists, sixteen bytes a vector."""
     rows = durable(base(spark, d), "vectors")
     model = ivf.train(rows, nlist, 16, 8, iterations=8)
-    return model, durable(ivf.postings_of(ivf.encode(rows, model)), "postings")
+    return model, durable(ivf.postings_of(ivf.encode(rows, model)), "postings", by="list_id")
 
 
 # --- SQL pieces ----------------------------------------------------------
@@ -237,13 +237,33 @@ def nqe_baseline(spark, d):
     return _rounded(ivf.nqe_baseline(ivf.encode(base(spark, d), pq_model(spark, d))), "nqe")
 
 
+def _pq_rounds_sql(rounds: int) -> str:
+    parts = [V, C, A, R, f"k0 AS (SELECT m, doc_id AS k, r AS z FROM r WHERE doc_id < {WORDS})"]
+    for i in range(rounds):
+        near = f"SELECT doc_id, m, r, k FROM (SELECT r.doc_id, r.m, r, k, {_l2('r', 'z')} AS err FROM r JOIN k{i} USING (m)) QUALIFY row_number() OVER (PARTITION BY doc_id, m ORDER BY err, k) = 1"
+        parts.append(f"k{i + 1} AS MATERIALIZED (SELECT k{i}.m, k{i}.k, coalesce(n.z, k{i}.z) AS z FROM k{i} LEFT JOIN (SELECT m, k, list(a ORDER BY j) AS z FROM (SELECT m, k, j, avg(r[j]) AS a FROM ({near}), range(1, {_W + 1}) AS g(j) GROUP BY m, k, j) GROUP BY m, k) n ON n.m = k{i}.m AND n.k = k{i}.k)")
+    return _with(*parts, tail=f"SELECT CAST(m AS INTEGER) AS m, CAST(k AS INTEGER) AS k, round(z[1], 5) + 0 AS first_value, round({_dot('z', 'z')}, 5) AS norm2 FROM k{rounds}")
+
+
+@query("pq_train_rounds", _pq_rounds_sql(2))
+def pq_train_rounds(spark, d):
+    """Two rounds of codebook training over all rows, on executors."""
+    model = flat_model(spark, d)
+    first = ivf.initial_rows(base(spark, d), WORDS)
+    start = (first - model.centroids[ivf.nearest(first, model.centroids)[0]]).reshape(WORDS, M, -1).transpose(1, 0, 2)
+    books = ivf.pq_rounds(base(spark, d), model.centroids, start, 2)
+    rows = [(m, k, float(z[0]), float(z @ z)) for m, book in enumerate(books) for k, z in enumerate(book)]
+    out = spark.createDataFrame(rows, "m int, k int, first_value double, norm2 double")
+    return out.select("m", "k", (F.round("first_value", 5) + 0).alias("first_value"), F.round("norm2", 5).alias("norm2"))
+
+
 # --- approximate search --------------------------------------------------
 
 
 @query("ivf_flat_search", _with(V, Q, C, A, P, S, T, tail="SELECT query_id, doc_id, list_id, round(approx, 6) AS approx, CAST(rank AS INTEGER) AS rank FROM t"))
 def ivf_flat_search(spark, d):
     model = flat_model(spark, d)
-    found = ivf.search_flat(model.centroid_table(spark), postings(spark, d, model), base(spark, d), query_rows(spark, d), K, NPROBE, NLIST)
+    found = ivf.search_flat(model, postings(spark, d, model), base(spark, d), query_rows(spark, d), K, NPROBE)
     return _rounded(found.select("query_id", "doc_id", "list_id", "approx", "rank"), "approx")
 
 
@@ -324,7 +344,7 @@ def _searchable(spark: SparkSession, d: str) -> tuple[ivf.IvfModel, DataFrame]:
     """A trained index for search: ``TRAINED`` lists, and a code of a byte for every dimension."""
     rows = durable(base(spark, d), "vectors")
     model = ivf.train(rows, TRAINED, 64, 8, iterations=8)
-    return model, durable(ivf.postings_of(ivf.encode(rows, model)), "postings")
+    return model, durable(ivf.postings_of(ivf.encode(rows, model)), "postings", by="list_id")
 
 
 @query("trained_adc_search")
@@ -336,7 +356,8 @@ def trained_adc_search(spark, d):
 @query("trained_flat_search")
 def trained_flat_search(spark, d):
     model, held = _searchable(spark, d)
-    found = ivf.search_flat(model.centroid_table(spark), held, base(spark, d), query_rows(spark, d), K, PROBED, TRAINED)
+    scan = durable(ivf.with_vectors(held, base(spark, d)), "scan", by="list_id")
+    found = ivf.search_flat(model, scan, base(spark, d), query_rows(spark, d), K, PROBED)
     return _rounded(found.select("query_id", "doc_id", "list_id", "approx", "rank"), "approx")
 
 

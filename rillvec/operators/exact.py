@@ -2,7 +2,7 @@
 
 Queries are a set whose number is checked before it is broadcast; beyond
 ``QUERY_BLOCK`` they are worked off in blocks, each of which passes over the
-base once.  Base rows never meet in one task: every task keeps k candidates a
+base once: meant for evaluation sets, not for tables of queries.  Base rows never meet in one task: every task keeps k candidates a
 query, and only those are ranked together.
 """
 
@@ -67,17 +67,43 @@ def sqdist(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def centred(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sides less the mean of y: far from the origin squares would cancel."""
+    shift = y.mean(axis=0) if len(y) else 0.0
+    return x - shift, y - shift
+
+
 def fast_sqdist(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Squared distances through one matrix product; clamped at 0."""
-    return np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2.0 * x @ y.T)
+    return rough_sqdist(x, y)[0]
+
 
+def rough_sqdist(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same, and by how much a row's distances may be off: rounding follows the norms, not the distances."""
+    x, y = centred(x, y)
+    x2, y2 = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    off = 1e-15 * (x.shape[1] + 8) * (x2 + y2.max(initial=0.0))
+    return np.maximum(0.0, x2[:, None] + y2[None, :] - 2.0 * x @ y.T), off[:, None]
 
-def nearest_per_row(d: np.ndarray, k: int, spare: int = 8) -> np.ndarray:
+
+def nearest_per_row(d: np.ndarray, k: int, off: np.ndarray, spare: int = 8) -> np.ndarray:
     """For each row a superset of its k least columns: those up to the k-th value, with rounding allowed for."""
     if d.shape[1] <= k + spare:
         return np.ones(d.shape, dtype=bool)
-    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-    return d <= edge + 1e-9 * (1 + np.abs(edge))
+    return d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k] + 2 * off
+
+
+def nearest_pairs(q: np.ndarray, x: np.ndarray, k: int, cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, exact distance), the k nearest of every q among them; at most ``cells`` distances at a time."""
+    found = []
+    step = max(1, cells // max(1, len(q)))
+    for at in range(0, len(x), step):
+        block = x[at : at + step]
+        d, off = rough_sqdist(q, block)
+        at_q, at_x = np.nonzero(nearest_per_row(d, k, off))
+        diff = q[at_q] - block[at_x]
+        found.append((at_q, at_x + at, np.einsum("ij,ij->i", diff, diff)))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 _FOUND = "query_id long, part int, doc_id long, dist double"
@@ -94,9 +120,8 @@ def _scan(shared, k: int):
             found = [(dist, group, doc)]
             for p in np.unique(part):
                 rows = np.flatnonzero(part == p)
-                at_q, at_x = np.nonzero(nearest_per_row(fast_sqdist(q, x[rows]), k))
-                diff = q[at_q] - x[rows[at_x]]
-                found.append((np.einsum("ij,ij->i", diff, diff), at_q + int(p) * len(ids), own[rows[at_x]]))
+                at_q, at_x, exact = nearest_pairs(q, x[rows], k)
+                found.append((exact, at_q + int(p) * len(ids), own[rows[at_x]]))
             dist, group, doc = (np.concatenate(c) for c in zip(*found, strict=True))
             order = np.lexsort((doc, dist, group))
             order = order[np.arange(len(order)) - np.searchsorted(group[order], group[order]) < k]

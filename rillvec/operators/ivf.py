@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from ..errors import FailedPrecondition, InvalidArgument
 from ..functions.vectors import l2sq
+from ..plans.reduce import PARTIAL, collect_sums, partial
 from ..plans.shared import share
-from .exact import fast_sqdist, matrix, query_blocks, top_k
+from .exact import fast_sqdist, matrix, nearest_pairs, query_blocks, rough_sqdist, top_k
 
 MAIN_ITERATIONS, DELTA_ITERATIONS = 20, 10
 _POSTING = "list_id int, doc_id long, code array<short>"
@@ -76,9 +77,17 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Index of, and exact distance to, the nearest centre; of equal ones the first."""
     best = np.empty(len(x), np.int64)
     for at in range(0, len(x), 4096):
-        d = fast_sqdist(x[at : at + 4096], centres)
-        close = d <= d.min(axis=1, keepdims=True) * (1 + 1e-12) + 1e-12
+        rows = x[at : at + 4096]
+        d, off = rough_sqdist(rows, centres)
+        close = d <= d.min(axis=1, keepdims=True) + 2 * off
         best[at : at + 4096] = close.argmax(axis=1)
+        # Where rounding leaves several, the direct form decides.
+        i, c = np.nonzero(close & (close.sum(axis=1, keepdims=True) > 1))
+        if len(i):
+            diff = rows[i] - centres[c]
+            order = np.lexsort((c, np.einsum("ij,ij->i", diff, diff), i))
+            some, first = np.unique(i[order], return_index=True)
+            best[at + some] = c[order][first]
     diff = x - centres[best]
     return best, np.einsum("ij,ij->i", diff, diff)
 
@@ -120,45 +129,71 @@ def initial_rows(base: DataFrame, k: int, seed: int | None = None) -> np.ndarray
 def _sums(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = shared.value
-        total, n = np.zeros_like(centres), np.zeros(len(centres), np.int64)
+        total = np.zeros((len(centres), 1 + centres.shape[1]))
         for batch in batches:
             if len(batch):
                 x = matrix(batch.column(0))
                 best, _ = nearest(x, centres)
-                np.add.at(total, best, x)
-                n += np.bincount(best, minlength=len(centres))
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array([t.tolist() for t in total[some]], pa.list_(pa.float64()))], names=["cid", "n", "total"])
+                np.add.at(total[:, 1:], best, x)
+                total[:, 0] += np.bincount(best, minlength=len(centres))
+        yield partial(total)
 
     return run
 
 
+def moved(centres: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The means of (n, sum) rows; a centre with no rows stays."""
+    n = total[:, :1]
+    return np.where(n > 0, total[:, 1:] / np.maximum(n, 1), centres)
+
+
 def kmeans(base: DataFrame, k: int, iterations: int = MAIN_ITERATIONS, seed: int | None = None, start: np.ndarray | None = None) -> np.ndarray:
     """Lloyd's rounds, exactly ``iterations`` of them; an empty cluster takes a row drawn by a hash of the round.
 
-    Each task adds up its rows per cluster; k partial sums a task reach the
-    driver.  ``base`` should be a cached or durable table.
+    Each task adds up its rows per cluster, executors add the tasks' sums, and
+    k rows a round reach the driver.  ``base`` should be a cached or durable table.
     """
     centres = initial_rows(base, k, seed) if start is None else np.asarray(start, dtype=np.float64).copy()
     rows = base.select("x")
     for step in range(iterations):
         shared = share(base.sparkSession, centres)
-        parts = rows.mapInArrow(_sums(shared), "cid int, n long, total array<double>").orderBy("cid", "n", "total").collect()
+        total = collect_sums(rows.mapInArrow(_sums(shared), PARTIAL), len(centres), 1 + centres.shape[1])
         shared.unpersist()
-        total, n = np.zeros_like(centres), np.zeros(len(centres), np.int64)
-        for p in parts:
-            total[p["cid"]] += np.array(p["total"])
-            n[p["cid"]] += p["n"]
-        centres = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
-        empty = np.flatnonzero(n == 0)
+        centres = moved(centres, total)
+        empty = np.flatnonzero(total[:, 0] == 0)
         if len(empty):
             centres[empty] = initial_rows(base, len(empty), (seed or 42) + 1 + step)
     return centres
 
 
-def _train_rows(base: DataFrame, limit: int) -> np.ndarray:
-    rows = base.orderBy(F.xxhash64("doc_id"), "doc_id").select("x").limit(limit).collect()
-    return np.array([r[0] for r in rows], dtype=np.float64)
+def _book_sums(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, books = shared.value
+        m, words, width = books.shape
+        total = np.zeros((m * words, 1 + width))
+        for batch in batches:
+            if len(batch):
+                x = matrix(batch.column(0))
+                r = x if centres is None else x - centres[nearest(x, centres)[0]]
+                for j in range(m):
+                    sub = r[:, j * width : (j + 1) * width]
+                    at = nearest(sub, books[j])[0] + j * words
+                    np.add.at(total[:, 1:], at, sub)
+                    total[:, 0] += np.bincount(at, minlength=len(total))
+        yield partial(total)
+
+    return run
+
+
+def pq_rounds(base: DataFrame, centres: np.ndarray | None, books: np.ndarray, iterations: int) -> np.ndarray:
+    """Lloyd's rounds of all subspaces at once over all rows (their residuals, with centres): one pass a round."""
+    m, words, width = books.shape
+    for _ in range(iterations):
+        shared = share(base.sparkSession, (centres, books))
+        total = collect_sums(base.select("x").mapInArrow(_book_sums(shared), PARTIAL), m * words, 1 + width)
+        shared.unpersist()
+        books = moved(books.reshape(m * words, width), total).reshape(books.shape)
+    return books
 
 
 def local_kmeans(x: np.ndarray, k: int, iterations: int) -> np.ndarray:
@@ -166,19 +201,34 @@ def local_kmeans(x: np.ndarray, k: int, iterations: int) -> np.ndarray:
     centres = x[np.arange(k) % len(x)].copy()
     for _ in range(iterations):
         best, _ = nearest(x, centres)
-        n = np.bincount(best, minlength=k)
-        total = np.zeros_like(centres)
-        np.add.at(total, best, x)
-        centres = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
+        total = np.zeros((k, 1 + x.shape[1]))
+        np.add.at(total[:, 1:], best, x)
+        total[:, 0] = np.bincount(best, minlength=k)
+        centres = moved(centres, total)
     return centres
 
 
-#: Rows that codebooks are trained on; a documented bound, chosen by hash.
-PQ_TRAIN_ROWS = 65_536
+#: Rows up to which codebooks are fitted where the driver is; beyond, the same rounds run over the cluster.
+LOCAL_ROWS = 65_536
+
+
+def train_codebooks(base: DataFrame, centres: np.ndarray | None, m: int, nbits: int, iterations: int, sample: int | None = None) -> np.ndarray:
+    """Codebooks (m, words, width) from all rows, or from ``sample`` rows by hash where a caller asks for that; residuals where centres are given."""
+    ordered = base.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "x")
+    rows, n = (base, base.count()) if sample is None else (ordered.limit(sample), min(sample, base.count()))
+    words = 1 << nbits
+    local = n <= LOCAL_ROWS
+    x = np.array([r["x"] for r in ordered.limit(n if local else words).collect()], dtype=np.float64)
+    if centres is not None:
+        x = x - centres[nearest(x, centres)[0]]
+    parts = np.split(x, m, axis=1)
+    if local:
+        return np.stack([local_kmeans(part, words, iterations) for part in parts])
+    return pq_rounds(rows, centres, np.stack(parts), iterations)
 
 
-def train(base: DataFrame, nlist: int, m: int = 0, nbits: int = 8, iterations: int = MAIN_ITERATIONS, residual: bool = True, seed: int | None = None, centroids: np.ndarray | None = None, codebooks: np.ndarray | None = None, version: int = 1) -> IvfModel:
-    """Centroids on all rows and, if m > 0, codebooks on a bounded sample; given ones are taken as they are."""
+def train(base: DataFrame, nlist: int, m: int = 0, nbits: int = 8, iterations: int = MAIN_ITERATIONS, residual: bool = True, seed: int | None = None, centroids: np.ndarray | None = None, codebooks: np.ndarray | None = None, version: int = 1, sample: int | None = None) -> IvfModel:
+    """Centroids and, if m > 0, codebooks, on all rows (codebooks on a sample if one is asked for); given ones are taken as they are."""
     n = base.count()
     if n == 0:
         raise InvalidArgument("no rows to train on")
@@ -187,11 +237,7 @@ def train(base: DataFrame, nlist: int, m: int = 0, nbits: int = 8, iterations: i
         return IvfModel(centres, None, residual, version)
     check_pq(centres.shape[1], m, nbits)
     if codebooks is None:
-        x = _train_rows(base, PQ_TRAIN_ROWS)
-        if residual:
-            x = x - centres[nearest(x, centres)[0]]
-        width = x.shape[1] // m
-        codebooks = np.stack([local_kmeans(x[:, j * width : (j + 1) * width], 1 << nbits, iterations) for j in range(m)])
+        codebooks = train_codebooks(base, centres if residual else None, m, nbits, iterations, sample)
     return IvfModel(centres, np.asarray(codebooks, dtype=np.float64), residual, version)
 
 
@@ -266,16 +312,77 @@ def probes(queries: DataFrame, centroids: DataFrame, nprobe: int, nlist: int) ->
     return pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")
 
 
-def flat_candidates(probed: DataFrame, postings: DataFrame, vectors: DataFrame) -> DataFrame:
-    """query_id, doc_id, list_id, approx of all rows in probed lists, with exact distances."""
-    rows = postings.select("list_id", "doc_id").join(vectors.select("doc_id", "x"), "doc_id")
-    return probed.select("query_id", "q", "list_id").join(rows, "list_id").select("query_id", "doc_id", "list_id", l2sq("q", "x").alias("approx"))
+def probe_plans(model: IvfModel, queries: DataFrame, nprobe: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, matrix, chosen) of each block of queries; ``chosen`` (queries, lists) says which lists a query probes.
+
+    A plan is made before anything is scanned and names the lists of one
+    snapshot, so a search is a scan of planned lists, whatever is published
+    meanwhile.
+    """
+    n = max(1, min(nprobe, model.nlist))
+    for ids, q in query_blocks(queries):
+        order = np.argsort(fast_sqdist(q, model.centroids), axis=1, kind="stable")[:, :n]
+        chosen = np.zeros((len(q), model.nlist), dtype=bool)
+        np.put_along_axis(chosen, order, True, axis=1)
+        yield ids, q, chosen
+
+
+def planned(postings: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """The postings of lists that any query probes: on a table laid out by list only their files are read."""
+    touched = np.flatnonzero(chosen.any(axis=0))
+    return postings if len(touched) == chosen.shape[1] else postings.where(F.col("list_id").isin([int(x) for x in touched]))
+
+
+def with_vectors(postings: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Postings of a flat index with their vectors beside them, so that a search joins nothing."""
+    return postings.drop("code").join(vectors.select("doc_id", "x"), "doc_id")
+
+
+def _flat(shared, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, chosen = shared.value
+        keep: list[list[np.ndarray]] = [[], [], [], []]
+        for batch in batches:
+            if not len(batch):
+                continue
+            lists, docs, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2))
+            for list_id in np.unique(lists):
+                who = np.flatnonzero(chosen[:, list_id])
+                if not len(who):
+                    continue
+                rows = np.flatnonzero(lists == list_id)
+                a, b, exact = nearest_pairs(q[who], x[rows], k)
+                for out, value in zip(keep, (ids[who[a]], docs[rows[b]], np.full(len(a), list_id, np.int32), exact), strict=True):
+                    out.append(value)
+            if sum(map(len, keep[0])) > 200_000:
+                yield _flush(keep, k, False)
+                keep = [[], [], [], []]
+        if keep[0]:
+            yield _flush(keep, k, False)
+
+    return run
+
+
+_FOUND = "query_id long, doc_id long, list_id int, approx double"
+
 
+def flat_candidates(model: IvfModel, postings: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
+    """query_id, doc_id, list_id, approx of rows in probed lists, with exact distances; at most k rows a task and query.
 
-def search_flat(model_centroids: DataFrame, postings: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, nprobe: int, nlist: int) -> DataFrame:
-    """query_id, doc_id, approx, rank: exact distances in the probed lists."""
-    probed = probes(queries, model_centroids, nprobe, nlist)
-    return top_k(flat_candidates(probed, postings, vectors), k, ["approx", "doc_id"])
+    Postings that hold x are scanned as they are; others fetch it by doc_id.
+    """
+    spark = postings.sparkSession
+    out = spark.createDataFrame([], _FOUND)
+    for ids, q, chosen in probe_plans(model, queries, nprobe):
+        rows = planned(postings, chosen)
+        rows = rows if "x" in rows.columns else with_vectors(rows, vectors)
+        out = out.unionAll(rows.select("list_id", "doc_id", "x").mapInArrow(_flat(share(spark, (ids, q, chosen)), k), _FOUND))
+    return out
+
+
+def search_flat(model: IvfModel, postings: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
+    """query_id, doc_id, list_id, approx, rank: exact distances in the probed lists."""
+    return top_k(flat_candidates(model, postings, vectors, queries, k, nprobe), k, ["approx", "doc_id"])
 
 
 def lookup_tables(q: np.ndarray, centre: np.ndarray | None, book: np.ndarray) -> np.ndarray:
@@ -359,20 +466,10 @@ def adc_candidates(model: IvfModel, postings: DataFrame, queries: DataFrame, k:
     """
     if not model.is_pq:
         raise FailedPrecondition("not a PQ index")
-    n = max(1, min(nprobe, model.nlist))
-    out = None
-    for ids, q in query_blocks(queries):
-        d = fast_sqdist(q, model.centroids)
-        order = np.argsort(d, axis=1, kind="stable")[:, :n]
-        chosen = np.zeros((len(q), model.nlist), dtype=bool)
-        np.put_along_axis(chosen, order, True, axis=1)
+    out = postings.sparkSession.createDataFrame([], _FOUND)
+    for ids, q, chosen in probe_plans(model, queries, nprobe):
         shared = share(postings.sparkSession, (model, ids, q, chosen))
-        touched = [int(x) for x in np.flatnonzero(chosen.any(axis=0))]
-        rows = postings.select("list_id", "doc_id", "code") if len(touched) > 1000 else postings.where(F.col("list_id").isin(touched)).select("list_id", "doc_id", "code")
-        part = rows.mapInArrow(_adc(shared, k, precomputed, trace), "query_id long, doc_id long, list_id int, approx double")
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        return postings.sparkSession.createDataFrame([], "query_id long, doc_id long, list_id int, approx double")
+        out = out.unionAll(planned(postings, chosen).select("list_id", "doc_id", "code").mapInArrow(_adc(shared, k, precomputed, trace), _FOUND))
     return out
 
 
@@ -425,7 +522,7 @@ class Searcher:
         if self.model.is_pq:
             found = search_adc(self.model, self.postings, q, k, nprobe).drop("list_id")
         else:
-            found = search_flat(self.model.centroid_table(queries.sparkSession), self.postings, self.vectors, q, k, nprobe, self.model.nlist).drop("list_id")
+            found = search_flat(self.model, self.postings, self.vectors, q, k, nprobe).drop("list_id")
         return found.withColumn("from_new", F.lit(1))
 
 

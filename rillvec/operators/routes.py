@@ -36,7 +36,7 @@ def search_route(route: Route, vectors: DataFrame, queries: DataFrame, k: int, n
     if route.model.is_pq:
         found = search_adc(route.model, route.postings, queries, n, nprobe)
     else:
-        found = search_flat(route.model.centroid_table(queries.sparkSession), route.postings, vectors, queries, n, nprobe, route.model.nlist)
+        found = search_flat(route.model, route.postings, vectors, queries, n, nprobe)
     return found.select("query_id", "doc_id", "approx", F.lit(route.from_new).alias("from_new"), F.lit(route.name).alias("route"))
 
 
