@@ -1,14 +1,17 @@
 """Merging recent rows into the consolidated index.
 
 Distances of recent rows to their nearest lists are computed in parallel; the
-greedy rule that balances list sizes depends on the order of rows and runs in
-one pass over (row, candidate lists), of which there are top_r a row.
-Neighbourhoods of lists are repartitioned in parallel, each in order.
+greedy rule that balances list sizes depends on the order of rows and runs as
+one task over a stream of (row, candidate lists), of which there are top_r a
+row; vectors and results stay on executors.  Neighbourhoods of lists are
+repartitioned in parallel, each in order.  A merge is prepared against one
+generation of the index and committed as a whole, or refused if the index has
+moved on since.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AlreadyExists, InvalidArgument, Unavailable
 from ..functions.vectors import l2sq
+from ..plans.durable import durable
 from ..plans.shared import share
 from .exact import fast_sqdist, matrix
 from .ivf import IvfModel, assign, encode, partition_sizes, postings_of
@@ -121,21 +125,34 @@ def assign_recent(recent: DataFrame, main: DataFrame, model: IvfModel, config: M
         for r in rows.groupBy("list_id").agg(F.count("*").alias("n")).collect():
             sizes[r["list_id"]] = sizes.get(r["list_id"], 0) + r["n"]
         return Assignment(rows, 0.0, 1.0, 1.0, before, _ratio(sizes, model.nlist))
-    near = near_lists(recent, model.centroids, config.top_r).orderBy("doc_id")
+    near = durable(near_lists(recent, model.centroids, config.top_r), "merge-near")
     delta = near.count()
     if delta > MAX_SEQUENTIAL:
         raise InvalidArgument(f"{delta} rows are more than {MAX_SEQUENTIAL}; merge them in parts")
-    greedy = Greedy(dict(sizes), (sum(sizes.values()) + delta) / max(1, model.nlist), config)
-    ids, places, dist, moved, ratios = np.empty(delta, np.int64), np.empty(delta, np.int32), np.empty(delta), 0, np.ones(delta)
-    for i, row in enumerate(near.toLocalIterator()):
-        lists, dists = list(row["lists"]), list(row["dists"])
-        p = greedy.place(lists, dists)
-        ids[i], places[i], dist[i] = row["doc_id"], p, dists[lists.index(p)]
-        moved += p != lists[0]
-        if dists[0] > 0:
-            ratios[i] = dist[i] / dists[0]
-    out = recent.sparkSession.createDataFrame(pd.DataFrame({"doc_id": ids, "list_id": places, "dist": dist}), "doc_id long, list_id int, dist double")
-    return Assignment(out, moved / max(1, delta), float(ratios.mean()) if delta else 1.0, float(ratios.max(initial=1.0)), before, _ratio(greedy.projected, model.nlist))
+    start = Greedy(dict(sizes), (sum(sizes.values()) + delta) / max(1, model.nlist), config)
+    in_order = near.coalesce(1).sortWithinPartitions("doc_id")
+    placed = durable(in_order.mapInArrow(_place(share(recent.sparkSession, start)), "doc_id long, list_id int, dist double, nearest double, moved boolean"), "merge-placed")
+    ratio = F.when(F.col("nearest") > 0, F.col("dist") / F.col("nearest")).otherwise(1.0)
+    facts = placed.agg(F.avg(F.col("moved").cast("double")).alias("moved"), F.avg(ratio).alias("mean"), F.max(ratio).alias("most")).first()
+    for r in placed.groupBy("list_id").agg(F.count("*").alias("n")).collect():
+        sizes[r["list_id"]] = sizes.get(r["list_id"], 0) + r["n"]
+    return Assignment(placed.select("doc_id", "list_id", "dist"), facts["moved"] or 0.0, facts["mean"] or 1.0, max(1.0, facts["most"] or 1.0), before, _ratio(sizes, model.nlist))
+
+
+def _place(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        greedy: Greedy = shared.value
+        for batch in batches:
+            out = []
+            for doc_id, lists, dists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p = greedy.place(lists, dists)
+                out.append((doc_id, p, dists[lists.index(p)], dists[0], p != lists[0]))
+            if out:
+                columns = list(zip(*out, strict=True))
+                kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "list_id", "dist", "nearest", "moved"])
+
+    return run
 
 
 def partition_stats(assigned: DataFrame, main: DataFrame) -> DataFrame:
@@ -275,25 +292,56 @@ class MergeReport:
     imbalance_after: float
     reused: int
     encoded: int
+    reordered: int = 0
+
 
+@dataclass(frozen=True)
+class PreparedMerge:
+    """A patch of whole lists, and the generation of the index that it was made for."""
 
-def merge(main: DataFrame, recent: DataFrame, vectors: DataFrame, model: IvfModel, config: MergeConfig | None = None, generation: int = 0) -> tuple[DataFrame, MergeReport]:
-    """Main postings with all recent postings in; ``recent`` has doc_id, ``vectors`` everything's x."""
+    patch: DataFrame
+    lists: list[int]
+    generation: int
+    assigned: Assignment
+    rows: int
+    reused: int
+    encoded: int
+    reordered: int
+
+
+def prepare(main: DataFrame, recent: DataFrame, vectors: DataFrame, model: IvfModel, config: MergeConfig | None = None, generation: int = 0) -> PreparedMerge:
+    """All the work of a merge, without touching the index: ``recent`` has doc_id, ``vectors`` everything's x.
+
+    Lists that receive rows are scored; those at the threshold or above are
+    marked for reordering, whose order readers get from ``list_order``.
+    """
     config = config or MergeConfig()
     rows = vectors.join(recent.select("doc_id"), "doc_id", "left_semi").select("doc_id", "x")
     assigned = assign_recent(rows, main, model, config)
+    scored = score_partitions(partition_stats(assigned.rows, main), config)
     if config.mode == "balanced_append":
-        placed = repartition_neighbourhoods(rows, assigned.rows, main, vectors, model, config).persist()
+        placed = durable(repartition_neighbourhoods(rows, assigned.rows, main, vectors, model, config), "merge-lists")
         lists = [r[0] for r in main.select("doc_id", "list_id").join(placed.select("doc_id"), "doc_id", "left_semi").select("list_id").union(placed.select("list_id")).distinct().collect()]
     else:
         lists = [r[0] for r in assigned.rows.select("list_id").distinct().collect()]
         old = main.where(F.col("list_id").isin(lists)).select("doc_id", "list_id")
-        placed = old.unionByName(assigned.rows.select("doc_id", "list_id")).persist()
+        placed = durable(old.unionByName(assigned.rows.select("doc_id", "list_id")), "merge-lists")
     patch, counts = finalize_codes(placed, main, vectors, model)
-    out = commit_patch(main, patch, [int(x) for x in lists], generation, generation)
     n = counts.first()
+    return PreparedMerge(durable(patch, "merge-patch"), [int(x) for x in lists], generation, assigned, rows.count(), n["reused"], n["encoded"], scored.where("recluster").count())
+
+
+def commit(prepared: PreparedMerge, main: DataFrame, model: IvfModel, generation: int) -> tuple[DataFrame, MergeReport]:
+    """Main with the patch in, if the index is still at the generation it was prepared for."""
+    out = commit_patch(main, prepared.patch, prepared.lists, prepared.generation, generation)
     sizes = {r["list_id"]: r["n"] for r in partition_sizes(out, model.nlist).collect()}
-    return out, MergeReport(rows.count(), len(lists), assigned.moved_ratio, assigned.imbalance_before, _ratio(sizes, model.nlist), n["reused"], n["encoded"])
+    return out, MergeReport(prepared.rows, len(prepared.lists), prepared.assigned.moved_ratio, prepared.assigned.imbalance_before, _ratio(sizes, model.nlist), prepared.reused, prepared.encoded, prepared.reordered)
+
+
+def merge(main: DataFrame, recent: DataFrame, vectors: DataFrame, model: IvfModel, config: MergeConfig | None = None, generation: int = 0, live: Callable[[], int] | None = None) -> tuple[DataFrame, MergeReport]:
+    """Main postings with all recent postings in; ``live`` tells the index's generation when the patch is ready, which must still be the given one."""
+    prepared = prepare(main, recent, vectors, model, config, generation)
+    return commit(prepared, main, model, generation if live is None else live())
 
 
-__all__ = ["Assignment", "Greedy", "MergeConfig", "MergeReport", "assign_recent", "commit_patch", "finalize_codes", "list_order", "merge", "near_lists", "partition_stats", "plan_neighbourhoods", "postings_of", "repartition_neighbourhoods", "score_partitions"]
+__all__ = ["Assignment", "Greedy", "MergeConfig", "MergeReport", "PreparedMerge", "assign_recent", "commit", "commit_patch", "finalize_codes", "list_order", "merge", "near_lists", "partition_stats", "plan_neighbourhoods", "postings_of", "prepare", "repartition_neighbourhoods", "score_partitions"]

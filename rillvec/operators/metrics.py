@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
+from ..plans.durable import durable
 
 
 def recall_at_k(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -80,21 +81,42 @@ def slowest_queries(latencies: DataFrame, n: int = 5) -> DataFrame:
 # --- distributions -------------------------------------------------------
 
 
+#: Slices of the values that one call ranks.
+SLICES = 256
+
+
+def _ranked(counts: DataFrame) -> DataFrame:
+    """Adds ``__n``, all rows, and ``__upto``, the rows up to a value, to (__v, __c)."""
+    cuts = counts.agg(F.sum("__c").alias("n"), F.percentile_approx("__v", [i / SLICES for i in range(1, SLICES)], 10 * SLICES).alias("cuts")).first()
+    if cuts["n"] is None:
+        return counts.withColumns({"__n": F.lit(0), "__upto": F.lit(0)})
+    # As many cuts as are below a value: its slice.
+    edges = F.array(*map(F.lit, sorted(set(cuts["cuts"]))))
+    sliced = counts.withColumn("__s", F.size(F.filter(edges, lambda c: c < F.col("__v"))))
+    below = sliced.groupBy("__s").agg(F.sum("__c").alias("__in")).withColumn("__below", F.coalesce(F.sum("__in").over(W.orderBy("__s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__s", "__below")
+    own = F.sum("__c").over(W.partitionBy("__s").orderBy("__v"))
+    return sliced.join(F.broadcast(below), "__s").select("__v", "__c", F.lit(cuts["n"]).alias("__n"), (own + F.col("__below")).alias("__upto"))
+
+
 def percentiles(df: DataFrame, value: str, quantiles: list[float], rule: str = "linear", by: list[str] | None = None) -> DataFrame:
     """One row a group: ``q0``, ``q1``, ... for the given quantiles.
 
     Rule ``linear`` interpolates between the two values around position
     q (n - 1) of the sorted values, ``floor`` takes the value at its floor.
     Rows are counted per distinct value first, so what is sorted is values and
-    no list of rows is ever built.
+    no list of rows is ever built.  Without groups the values are dealt to
+    ``SLICES`` slices between approximate quantiles; slices are summed on their
+    own and offset by those below, so no task sorts all values and ranks are exact.
     """
     if rule not in ("linear", "floor"):
         raise InvalidArgument("rule must be linear or floor")
     keys = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
-    total = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    counts = counts.join(total, keys) if keys else counts.crossJoin(F.broadcast(total))
-    upto = counts.withColumn("__upto", F.sum("__c").over(W.partitionBy(*keys).orderBy("__v")))
+    if keys:
+        counts = counts.join(counts.groupBy(*keys).agg(F.sum("__c").alias("__n")), keys)
+        upto = counts.withColumn("__upto", F.sum("__c").over(W.partitionBy(*keys).orderBy("__v")))
+    else:
+        upto = _ranked(durable(counts, "values"))
     out = []
     for i, q in enumerate(quantiles):
         at = F.lit(q) * (F.col("__n") - 1)

@@ -1,23 +1,26 @@
 """Queries, inserts and maintenance at the same time, on snapshots instead of locks.
 
 The published state is one immutable object; a query takes it once and is
-judged by the version it saw and by the version at its completion.  Inserts
-commit only on the generation they were prepared from.  While a frozen shard is
-being merged and the active one is full, the inserter waits, and the wait is
-counted.
+judged by the version it saw and by the version at its completion.  The lock is
+held to swap states, never for the work: the one inserter alone changes the
+active shard and builds its next state beside it, the one maintainer alone
+changes main and prepares merges and rebuilds off the lock.  A patch commits
+only on the generation it was prepared from.  While a frozen shard is being
+merged and the active one is full, the inserter waits, and the wait is counted.
 """
 
 from __future__ import annotations
 
 import threading
 import time
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import exact, metrics, routes
+from ..operators import exact, ivf, metrics, routes
 from .durable import durable
 from .harness import Engine
 
@@ -40,7 +43,10 @@ class Service:
     batches: list[tuple] = field(default_factory=list)
     waits: int = 0
     _published: Snapshot | None = None
-    _change: threading.Lock = field(default_factory=threading.Lock)
+    #: Called while a merge is being prepared, off the lock.
+    during_merge: Callable[[], None] | None = None
+    _change: threading.Condition = field(default_factory=threading.Condition)
+    _failed: bool = False
     _began: float = 0.0
 
     def publish(self, version: int) -> None:
@@ -72,29 +78,60 @@ class Service:
             if rate > 0:
                 time.sleep(max(0.0, (e.seen - first) / rate - self.now / 1000))
             began, begin_row = self.now, e.seen
+            e.ingest(min(total, e.seen + size))
+            decision = e.merge_decision()
             with self._change:
-                e.ingest(min(total, e.seen + size))
-                decision = e.merge_decision()
                 if decision.fires:
                     if e.frozen is not None:
                         self.waits += 1
-                        e.commit_merge("backpressure")
+                        e.backpressure += 1
+                        self._change.wait_for(lambda: e.frozen is None or self._failed)
+                    if self._failed:
+                        return
                     e.freeze(decision.reason)
+                    self._change.notify_all()
                 version += 1
                 self.publish(version)
             self.batches.append((version, version, begin_row, e.seen, began, self.now))
 
     def maintain(self, stop: threading.Event) -> None:
-        """Merges frozen shards until told to stop, once more at the end."""
-        while True:
-            last = stop.is_set()
-            with self._change:
+        """Merges frozen shards until told to stop, once more at the end; rebuilds where that is due."""
+        try:
+            while True:
+                last = stop.is_set()
                 if self.engine.frozen is not None:
-                    self.engine.commit_merge("maintenance")
-                    self.publish(self._published.version)
-            if last:
-                return
-            stop.wait(0.05)
+                    ready = self.engine.prepare_merge()
+                    if self.during_merge is not None:
+                        self.during_merge()
+                    with self._change:
+                        self.engine.finish_merge(ready, "maintenance")
+                        self.publish(self._published.version)
+                        self._change.notify_all()
+                    self.maybe_rebuild()
+                if last:
+                    return
+                stop.wait(0.05)
+        except BaseException:
+            with self._change:
+                self._failed = True
+                self._change.notify_all()
+            raise
+
+    def maybe_rebuild(self) -> bool:
+        """A new main index of the rows that main holds, trained off the lock in the space there is; recent shards stay as they are."""
+        e = self.engine
+        if not e.settings.enable_global_rebuild:
+            return False
+        old = e.main
+        ratio = metrics.imbalance(ivf.partition_sizes(old.postings, old.model.nlist), "nonempty").first()["imbalance"]
+        decision = e.settings.rebuild_trigger.decide(old.rows - e.rebuilt_main_rows, ratio, e.rebuilds, e.seen, e.rebuilt_seen)
+        if not decision.fires:
+            return False
+        fresh = e.retrained(old)
+        with self._change:
+            e.replace_main(old, fresh, decision.reason)
+            self.publish(self._published.version)
+        return True
 
     def run(self, total: int, query_rounds: int = 2) -> Service:
         """The whole stream with ``query_workers`` threads asking meanwhile."""
@@ -111,9 +148,8 @@ class Service:
                 job.result()
             stop.set()
             maintenance.result()
-        with self._change:
-            e.activate(final=True)
-            self.publish(self._published.version)
+        e.activate(final=True)
+        self.publish(self._published.version)
         self.query(len(asked), e.q)
         return self
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import FailedPrecondition
+from ..errors import FailedPrecondition, Unavailable
 from ..operators import exact, ivf, merge, metrics, mutate, routes
 from ..operators.whitening import Whitening
 from ..sources.settings import Settings
@@ -33,10 +33,12 @@ class Shard:
     state: mutate.OnlineState
     rows: int
     last: mutate.OnlineReport | None = None
+    #: Of a flat index: postings with their vectors beside them, laid out by list.
+    scan: DataFrame | None = None
 
     def route(self, settings: Settings) -> routes.Route:
         budget = {"main": settings.main_exact_rerank_candidates, "active": settings.active_exact_rerank_candidates, "frozen": settings.frozen_exact_rerank_candidates}[self.name]
-        return routes.Route(self.name, self.model, self.postings, 0 if self.name == "main" else 1, budget)
+        return routes.Route(self.name, self.model, self.postings if self.scan is None else self.scan, 0 if self.name == "main" else 1, budget)
 
 
 @dataclass
@@ -86,7 +88,7 @@ class Engine:
         return self._filled(name, model, rows)
 
     def _filled(self, name: str, model: ivf.IvfModel, rows: DataFrame) -> Shard:
-        encoded = durable(ivf.encode(rows, model), f"{name}-encoded")
+        encoded = durable(ivf.encode(rows, model), f"{name}-encoded", by="list_id")
         counts, baseline = np.zeros((0, 0), np.int64), None
         if model.is_pq:
             counts = np.zeros(model.codebooks.shape[:2], np.int64)
@@ -172,12 +174,24 @@ class Engine:
     def commit_merge(self, reason: str) -> merge.MergeReport | None:
         if self.frozen is None:
             return None
+        return self.finish_merge(self.prepare_merge(), reason)
+
+    def prepare_merge(self) -> tuple[merge.PreparedMerge, float]:
+        """The patch that brings the frozen shard into main; changes nothing, so it needs no lock."""
         began = time.perf_counter()
-        out, report = merge.merge(self.main.postings, self.frozen.postings, self.vectors, self.main.model, self.settings.merge, self.main.state.generation)
-        state = replace(self.main.state, generation=self.main.state.generation + 1)
-        self.main = Shard("main", self.main.model, durable(out, "main"), state, self.main.rows + report.rows)
+        main, frozen = self.main, self.frozen
+        prepared = merge.prepare(main.postings, frozen.postings, self.vectors, main.model, self.settings.merge, main.state.generation)
+        return prepared, time.perf_counter() - began
+
+    def finish_merge(self, ready: tuple[merge.PreparedMerge, float], reason: str) -> merge.MergeReport:
+        """Commits a patch to the main shard as it is now; refused if that is not the one it was prepared for."""
+        prepared, seconds = ready
+        began, main = time.perf_counter(), self.main
+        out, report = merge.commit(prepared, main.postings, main.model, main.state.generation)
+        state = replace(main.state, generation=main.state.generation + 1)
+        self.main = Shard("main", main.model, durable(out, "main", by="list_id"), state, main.rows + report.rows)
         self.frozen, self.version = None, self.version + 1
-        self._log("merge", reason=reason, seconds=time.perf_counter() - began, **vars(report))
+        self._log("merge", reason=reason, seconds=seconds + time.perf_counter() - began, **vars(report))
         return report
 
     def maybe_rebuild(self) -> bool:
@@ -190,7 +204,13 @@ class Engine:
         return decision.fires
 
     def rebuild(self, reason: str, refit: bool = True, tail: bool = True) -> None:
-        """Retrain on all seen rows; the last training window seeds a new active shard."""
+        """Retrain on all seen rows; the last training window seeds a new active shard.
+
+        Without ``refit`` the space stays, without ``tail`` all rows go to main:
+        so a service rebuilds while queries go on.  The generation moves on, so
+        a merge prepared before is refused.
+        """
+        generation = self.main.state.generation + 1
         keep = self.seen - (self.settings.train_rows() if tail else 0)
         if keep <= 0:
             raise FailedPrecondition("too few rows for a rebuild")
@@ -199,16 +219,36 @@ class Engine:
         self.version += 1
         self.frozen, self.active, self.pending, self._reuse = None, None, None, None
         self.main = self._train(self.rows(0, keep), "main", self.settings.ivf_nlist, ivf.MAIN_ITERATIONS)
+        self.main.state = replace(self.main.state, generation=generation)
         if tail:
             self.pending = (keep, self.seen)
             self.activate()
         self.rebuilds, self.rebuilt_main_rows, self.rebuilt_seen = self.rebuilds + 1, self.main.rows, self.seen
         self._log("rebuild", reason=reason, rows=keep)
 
+    def retrained(self, shard: Shard) -> Shard:
+        """A new index of a shard's rows, in the space there is; changes nothing."""
+        rows = durable(self.vectors.join(shard.postings.select("doc_id"), "doc_id", "left_semi").select("doc_id", "x"), "rebuild-rows")
+        fresh = self._train(rows, shard.name, self.settings.ivf_nlist, ivf.MAIN_ITERATIONS)
+        return replace(fresh, state=replace(fresh.state, generation=shard.state.generation + 1))
+
+    def replace_main(self, old: Shard, fresh: Shard, reason: str) -> None:
+        """Swap main for an index that was built from it, if it still is the same."""
+        if self.main is not old:
+            raise Unavailable("main changed since the rebuild began")
+        self.main, self.version, self._reuse = fresh, self.version + 1, None
+        self.rebuilds, self.rebuilt_main_rows, self.rebuilt_seen = self.rebuilds + 1, fresh.rows, self.seen
+        self._log("rebuild", reason=reason, rows=fresh.rows)
+
     # --- evaluation ---
 
     def shards(self) -> list[Shard]:
-        return [x for x in (self.main, self.frozen, self.active) if x is not None]
+        """The shards that hold rows; of a flat index their scans are made here, once a change."""
+        out = [x for x in (self.main, self.frozen, self.active) if x is not None]
+        for x in out:
+            if not x.model.is_pq and x.scan is None:
+                x.scan = durable(ivf.with_vectors(x.postings, self.vectors), f"{x.name}-scan", by="list_id")
+        return out
 
     def search(self, k: int | None = None, nprobe: int | None = None) -> DataFrame:
         s = self.settings
