@@ -62,10 +62,10 @@ def test_exact_and_flat_search_by_hand(spark, six, two_queries):
     assert [r.dist for r in truth.where("query_id = 1").orderBy("rank").collect()] == [8.0, 10.0, 13.0]
     model = ivf.IvfModel(CENTRES)
     held = ivf.postings_of(ivf.encode(six, model))
-    found = ivf.search_flat(model.centroid_table(spark), held, six, two_queries, 3, 1, 2)
+    found = ivf.search_flat(model, held, six, two_queries, 3, 1)
     assert ids(found) == {0: [1, 0, 2], 1: [2, 1, 0]}
     assert {r.query_id: round(r.recall, 6) for r in metrics.recall_at_k(truth, found, 3).collect()} == {0: 1.0, 1: round(2 / 3, 6)}
-    every = ivf.search_flat(model.centroid_table(spark), held, six, two_queries, 3, 9, 2)
+    every = ivf.search_flat(model, held, six, two_queries, 3, 9)
     assert ids(every) == ids(truth)
 
 
