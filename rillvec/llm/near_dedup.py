@@ -226,18 +226,32 @@ def _block_links(threshold: float, finer: bool):
 def residual_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, finer: bool = False) -> DataFrame:
     """Links that join different components of a bucket.
 
-    ``members`` has bucket, size, node and comp of all buckets with more than
-    one component, ``nodes`` each node's n and keys, the buckets it may be in.
-    A bucket is dealt to blocks of about ``BLOCK`` nodes; every unordered pair
-    of blocks meets in one task, so no task holds a bucket.
+    ``members`` has bucket, node and comp of all buckets with more than one
+    component, ``nodes`` each node's n and keys, the buckets it may be in.  A
+    bucket's largest component needs no look at itself: only its strays, the
+    members of other components, meet each other and all of it.  Both are dealt
+    to blocks of about ``BLOCK`` nodes and every pair of blocks that has to meet
+    does so in one task, so no task holds a bucket, and one large component with
+    few strays costs its size and not the square of it.
     """
-    dealt = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    rows = met.select("bucket", low.alias("low"), high.alias("high"), side.alias("side"), "node", "comp").join(nodes, "node").join(sets, "node")
-    # Dealt by all three keys: left to itself Spark keeps a bucket's blocks where the join put them, in one task.
-    return rows.repartition("bucket", "low", "high").groupBy("bucket", "low", "high").applyInArrow(_block_links(threshold, finer), "a long, b long").distinct()
+    shares = members.groupBy("bucket", "comp").agg(F.count("*").alias("own"))
+    tops = durable(shares.groupBy("bucket").agg(F.max(F.struct("own", "comp")).alias("top"), F.sum("own").alias("all")).select("bucket", F.col("top.comp").alias("top"), F.col("top.own").alias("main"), (F.col("all") - F.col("top.own")).alias("strays")), "dedup-tops")
+    dealt = members.select("bucket", "node", "comp").join(tops, "bucket").withColumn("stray", F.col("comp") != F.col("top"))
+    dealt = dealt.withColumn("blocks", F.ceil(F.col("strays") / BLOCK)).withColumn("mains", F.ceil(F.col("main") / BLOCK))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("stray"), F.col("blocks")).otherwise(F.col("mains"))))
+    # Joined before rows are told to their meetings: a join's rows stay one a member.
+    held = dealt.join(nodes, "node").join(sets, "node")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    meeting = lambda kind, low, high, side: F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"), side.alias("side"))
+    mine = F.col("mine")
+    among = F.transform(upto(F.col("blocks")), lambda o: meeting(0, F.least(mine, o), F.greatest(mine, o), F.when(mine == o, 2).when(mine < o, 0).otherwise(1)))
+    across = F.transform(upto(F.col("mains")), lambda o: meeting(1, mine, o, F.lit(0)))
+    back = F.transform(upto(F.col("blocks")), lambda o: meeting(1, o, mine, F.lit(1)))
+    met = held.withColumn("m", F.explode(F.when(F.col("stray"), F.concat(among, across)).otherwise(back)))
+    rows = met.select("bucket", "m.kind", "m.low", "m.high", "m.side", "node", "comp", "n", "keys", "s")
+    # Dealt by all four keys: left to itself Spark keeps a bucket's blocks where the join put them, in one task.
+    at = ["bucket", "kind", "low", "high"]
+    return rows.repartition(*at).groupBy(*at).applyInArrow(_block_links(threshold, finer), "a long, b long").distinct()
 
 
 def rare_shingles(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
