@@ -42,6 +42,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> En
     a = _parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("rillvec").getOrCreate()
     s = settings.load(spark, a.settings)
+    for name in settings.without_effect(s):
+        print(f"{name} has no effect here")
     path = fvecs.resolve(spark, a.base, "_base.fvecs")
     info = fvecs.inspect(spark, path)
     if info.dim != s.dim:

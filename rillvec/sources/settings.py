@@ -153,6 +153,20 @@ class Settings:
         return self.delta_train_window * self.batch_rows()
 
 
+#: Options that are read and checked, and then change nothing: executors decide layouts and threads, and saved states are read by hand.
+NO_EFFECT: tuple[str, ...] = (
+    "final_state_cache_mode", "final_state_cache_path", "final_state_cache_store_vectors", "concurrent_init_mode", "concurrent_init_path", "concurrent_gt_mode", "concurrent_gt_path",
+    "concurrent_insert_threads", "concurrent_maintenance_threads", "concurrent_query_threads_per_request", "enable_miss_diag", "enable_rerank_source_diag", "enable_latency_debug",
+    "online_pq_qe_ratio_threshold", "pq_codebook_dimension_major", "pq_codes_subquantizer_major",
+)
+
+
+def without_effect(s: Settings) -> list[str]:
+    """Options that were set away from their defaults and change nothing here."""
+    default = Settings()
+    return [name for name in NO_EFFECT if getattr(s, name) != getattr(default, name)]
+
+
 # Allowed words.
 CHOICES: dict[str, tuple[str, ...]] = {
     "streaming_mode": ("streaming", "batch"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rillvec import errors
 from rillvec.operators import exact, ivf, merge, metrics, mutate, whitening
 from rillvec.plans import concurrent, durable, harness, reduce
+from rillvec.sources import settings
 
 RNG = np.random.default_rng(7)
 
@@ -168,3 +169,9 @@ def test_flat_engines_scan_vectors_beside_their_lists(spark):
     assert all(s.scan is not None and "x" in s.scan.columns for s in e.shards())
     got = {(r.query_id, r.doc_id) for r in e.search(5, 8).collect()}
     assert got == {(r.query_id, r.doc_id) for r in e.truth(5).collect()}
+
+
+def test_options_without_effect_are_named():
+    s = settings.parse('{"concurrent_insert_threads": 3, "nprobe": 4, "enable_latency_debug": true}')
+    assert settings.without_effect(s) == ["concurrent_insert_threads", "enable_latency_debug"]
+    assert set(settings.NO_EFFECT) <= set(vars(settings.Settings()))
