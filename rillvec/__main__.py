@@ -6,7 +6,8 @@
     python -m rillvec serve SETTINGS BASE QUERIES REPORT [--rows N]
 
 BASE and QUERIES are vector files, or folders that hold one (``*_base.fvecs``,
-``*_query.fvecs``).
+``*_query.fvecs``).  ``stream`` saves and loads final states, ``serve`` starts and truths, as the
+settings' modes say.
 """
 
 from __future__ import annotations
@@ -61,7 +62,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> En
     if a.command == "stream":
         if a.prebuilt:
             e.adopt(*artifacts.load_prebuilt(spark, a.prebuilt, dim=s.dim, main_rows=s.main_rows(info.rows), total_rows=info.rows, whitening=s.use_whitening))
-        e.run(info.rows)
+        if s.final_state_cache_mode == "load":
+            e.load_final(s.final_state_cache_path)
+        else:
+            e.run(info.rows)
+        if s.final_state_cache_mode in ("save", "prepare"):
+            e.save_final(s.final_state_cache_path)
     elif a.command == "replay":
         ops = workload.check(workload.read(spark, fvecs.resolve(spark, a.workload, "_workload.json"))).orderBy("place")
         e.replay([r.asDict() for r in ops.toLocalIterator()], a.bootstrap)
@@ -69,6 +75,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> En
         service = Service(e).run(a.rows or info.rows)
         artifacts.write_csv(service.record_table().drop("doc_ids"), f"{a.report}/queries", "completion_ms")
         artifacts.write_csv(service.batch_table(), f"{a.report}/inserts", "batch")
+        if (s.enable_dynamic_ground_truth and not s.skip_query_ground_truth) or s.concurrent_gt_mode != "off":
+            truth = service.truth()
+            for at in ("version", "completed"):
+                artifacts.write_csv(service.recall(at, truth), f"{a.report}/recall-{at}", "query_id")
     artifacts.write_report(spark, f"{a.report}/summary", asdict(s), {"rows": e.seen, "events": len(e.events), "backpressure": e.backpressure}, e.events, e.snapshots)
     if s.nprobe_sweep:
         artifacts.write_curve(e.sweep(), f"{a.report}/curve")

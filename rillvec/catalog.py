@@ -8,6 +8,8 @@ eight centroids and sixteen codewords a subspace from the first rows by id.
 from __future__ import annotations
 
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 from .functions import vectors as vec
 from .operators import exact, ivf, merge, metrics, mutate, routes, triggers, whitening
 from .plans import concurrent, harness
-from .plans.durable import durable
+from .plans.durable import durable, durable_dir
+from .sources import artifacts
 from .streaming import ingest
 
 K, NLIST, NPROBE, M, WORDS, LAMBDA = 10, 8, 4, 8, 16, 0.5
@@ -526,11 +529,34 @@ def whitening_roundtrip(spark, d):
     return back.select("doc_id", (F.round(F.get("x", 0), 4) + F.lit(0.0)).alias("first_value"))
 
 
-@query("normalized_space", _with(V, tail="SELECT doc_id, CAST(1 AS DOUBLE) AS length FROM v"))
+def _form_sql(x: str = "x") -> tuple[str, ...]:
+    """Rows y, centred as a transform fitted on ``x`` centres them, and covariance rows: |transform(y)|^2 is their quadratic form."""
+    return (
+        f"s AS (SELECT {x} AS x FROM v)",
+        "k AS (SELECT i, list(cov ORDER BY j) AS c FROM (SELECT i, j, avg(x[i] * x[j]) - avg(x[i]) * avg(x[j]) AS cov FROM s, range(1, 65) AS a(i), range(1, 65) AS b(j) GROUP BY i, j) GROUP BY i)",
+        "mu AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(x[i]) AS m FROM s, range(1, 65) AS a(i) GROUP BY i))",
+        f"y AS (SELECT doc_id, {_sub('x', 'm')} AS y FROM v, mu)",
+        f"e AS (SELECT doc_id, sum(y[i] * {_dot('c', 'y')}) AS energy FROM y, k GROUP BY doc_id)",
+    )
+
+
+@query("normalized_space", _with(V, *_form_sql(), f"o AS (SELECT y AS o FROM y WHERE doc_id = 0), l AS (SELECT doc_id, sum(o[i] * {_dot('c', 'y')}) AS d FROM y, k, o GROUP BY doc_id)", tail="SELECT doc_id, 1.0::DOUBLE AS length, round(d / sqrt(energy * (SELECT energy FROM e WHERE doc_id = 0)), 6) + 0 AS likeness FROM l JOIN e USING (doc_id)"))
 def normalized_space(spark, d):
+    """Rows in a space of unit length: their length, and their cosine with the first row."""
     w = whitening.Whitening(cosine=True)
     t = w.get(w.fit(base(spark, d)))
-    return t.apply(base(spark, d)).select("doc_id", F.round(F.sqrt(vec.norm2("x")), 6).alias("length"))
+    rows = t.apply(base(spark, d))
+    first = rows.where("doc_id = 0").select(F.col("x").alias("o"))
+    return rows.crossJoin(F.broadcast(first)).select("doc_id", F.round(F.sqrt(vec.norm2("x")), 6).alias("length"), (F.round(vec.dot("x", "o"), 6) + F.lit(0.0)).alias("likeness"))
+
+
+@query("transform_squared", _with(V, *_form_sql(), tail="SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(c[j], 6) + 0 AS cov FROM k, range(1, 65) AS b(j)"))
+def transform_squared(spark, d):
+    """The matrix of the default transform, times itself, is the covariance."""
+    w = whitening.Whitening()
+    t = w.get(w.fit(base(spark, d))).matrix
+    square = t @ t
+    return spark.createDataFrame([(i, j, float(square[i, j])) for i in range(len(square)) for j in range(len(square))], "i int, j int, cov double").withColumn("cov", F.round("cov", 6) + F.lit(0.0))
 
 
 # --- changes -------------------------------------------------------------
@@ -665,26 +691,26 @@ def merge_triggers(spark, d):
     return spark.createDataFrame(made, "label int, fires boolean, reason string")
 
 
-@query("transform_by_columns", _with(V, tail="SELECT doc_id, CAST(0 AS DOUBLE) AS gap FROM v"))
+@query("transform_by_columns", _with(V, *_form_sql(), tail="SELECT doc_id, CAST(0 AS DOUBLE) AS gap, round(energy, 6) AS energy FROM e"))
 def transform_by_columns(spark, d):
-    """The linear transform by array expressions, against the kernel: the largest gap of a row, to six digits."""
+    """The linear transform by array expressions: its squared length, and the largest gap to the kernel, to six digits."""
     w = whitening.Whitening()
     t = w.get(w.fit(base(spark, d)))
     matrix = F.array(*[F.array(*map(F.lit, map(float, row))) for row in t.matrix])
     mean = F.array(*map(F.lit, map(float, t.mean)))
     by_columns = base(spark, d).select("doc_id", vec.affine(matrix, "x", mean).alias("a"))
     gap = F.array_max(F.zip_with("a", "x", lambda a, b: F.abs(a - b)))
-    return by_columns.join(t.apply(base(spark, d)), "doc_id").select("doc_id", F.round(gap, 6).alias("gap"))
+    return by_columns.join(t.apply(base(spark, d)), "doc_id").select("doc_id", F.round(gap, 6).alias("gap"), F.round(vec.norm2("a"), 6).alias("energy"))
 
 
-@query("retarget", _with(V, tail="SELECT doc_id, CAST(0 AS DOUBLE) AS gap FROM v"))
+@query("retarget", _with(V, *_form_sql("list_transform(x, lambda z, i: z * i)"), tail="SELECT doc_id, CAST(0 AS DOUBLE) AS gap, round(energy, 4) AS energy FROM e"))
 def retarget(spark, d):
     """Rows taken from one version's space to another's are where the other version puts them."""
     w, rows = whitening.Whitening(), base(spark, d)
-    a, b = w.get(w.fit(rows)), w.get(w.fit(rows.withColumn("x", F.transform("x", lambda v, i: v * (i + 1)))))
+    a, b = w.get(w.fit(rows)), w.get(w.fit(rows.withColumn("x", F.transform("x", lambda v, i: v.cast("double") * (i + 1)))))
     moved = whitening.retarget(a.apply(rows), a, b).select("doc_id", F.col("x").alias("y"))
     gap = F.array_max(F.zip_with("x", "y", lambda p, q: F.abs(p - q)))
-    return b.apply(rows).join(moved, "doc_id").select("doc_id", F.round(gap, 5).alias("gap"))
+    return b.apply(rows).join(moved, "doc_id").select("doc_id", F.round(gap, 5).alias("gap"), F.round(vec.norm2("y"), 4).alias("energy"))
 
 
 @query("hits_and_misses", _with(V, Q, E, C, A, P, S, T, _HIT, tail="SELECT query_id, doc_id, CASE WHEN hit THEN 'hit' ELSE 'miss' END AS kind FROM h"))
@@ -707,6 +733,47 @@ def partial_update(spark, d):
     return spark.createDataFrame([(m, bool(moved[m])) for m in range(M)], "m int, moved boolean")
 
 
+_WORDS_MOVED = M * WORDS // 4
+
+
+@query("partial_update_words", _with(V, C, A, Z, R, N, f"""g AS (SELECT n.m, n.k, j, sum(r[j] - z[j]) AS s FROM n JOIN r USING (doc_id, m) JOIN z ON z.m = n.m AND z.k = n.k, range(1, {_W + 1}) AS b(j) GROUP BY n.m, n.k, j),
+  h AS (SELECT m, k, sum(s * s) AS weight FROM g GROUP BY m, k)""", tail=f"SELECT CAST(z.m AS INTEGER) AS m, CAST(z.k AS INTEGER) AS k, weight IS NOT NULL AND row_number() OVER (ORDER BY weight DESC NULLS LAST, z.m, z.k) <= {_WORDS_MOVED} AS moved FROM z LEFT JOIN h ON h.m = z.m AND h.k = z.k"))
+def partial_update_words(spark, d):
+    """Which codewords an update of the quarter with the largest summed error moves."""
+    model = pq_model(spark, d)
+    added = mutate.batch_sums(base(spark, d), model)
+    state = mutate.OnlineState(np.full((M, WORDS), 10))
+    z, _, _ = mutate.update_codebooks(model, state, added, None, mutate.OnlineConfig(top_lambda=0.25))
+    moved = np.abs(z - model.codebooks).sum(axis=2) > 0
+    return spark.createDataFrame([(m, k, bool(moved[m, k])) for m in range(M) for k in range(WORDS)], "m int, k int, moved boolean")
+
+
+@query("online_add", _with(V, C, A, Z, R, N, tail="SELECT n.doc_id, n.list_id, list(CAST(k AS VARCHAR) ORDER BY m)::VARCHAR AS code FROM n JOIN v USING (doc_id) WHERE label <> 2 GROUP BY n.doc_id, n.list_id"))
+def online_add(spark, d):
+    """Labels 5 to 9 added to an index of the others in one step with the deletion of label 2, codebooks as they are."""
+    model = pq_model(spark, d)
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("x"), "label")
+    held = ivf.postings_of(ivf.encode(rows.where("label < 5").select("doc_id", "x"), model))
+    state = mutate.OnlineState(np.full((M, WORDS), 10))
+    out, _, _, _ = mutate.online_add(held, rows.where("label >= 5").select("doc_id", "x"), model, state, mutate.OnlineConfig(), expired=rows.where("label = 2").select("doc_id"), vectors=rows)
+    return out.select("doc_id", "list_id", _code_text())
+
+
+def _code_text():
+    return F.concat(F.lit("["), F.array_join(F.col("code").cast("array<string>"), ", "), F.lit("]")).alias("code")
+
+
+@query("saved_index", _with(V, C, A, Z, R, N, tail="SELECT doc_id, list_id, list(CAST(k AS VARCHAR) ORDER BY m)::VARCHAR AS code FROM n GROUP BY doc_id, list_id"))
+def saved_index(spark, d):
+    """An index written and read again: its postings, and new codes by the model that was read."""
+    model = pq_model(spark, d)
+    path = f"{durable_dir(spark)}/saved-{uuid.uuid4().hex}"
+    artifacts.save_index(path, model, postings(spark, d, model))
+    read, held, _ = artifacts.load_index(spark, path)
+    again = ivf.encode(base(spark, d), read).select("doc_id", "list_id", "code")
+    return held.join(again, ["doc_id", "list_id", "code"]).select("doc_id", "list_id", _code_text())
+
+
 # --- whole runs ----------------------------------------------------------
 
 
@@ -722,6 +789,13 @@ def workload_run(spark, d):
     return harness.workload_demo(spark, base(spark, d), query_rows(spark, d))
 
 
+@query("workload_sizes", _with(V, "o AS (SELECT i, (SELECT count(*) FROM v) * (i + 1) // 4 AS seen FROM range(1, 4) AS r(i))", tail="SELECT 'search ' || (2 * i + 1) AS kind, CAST(seen AS INTEGER) AS seen, CAST(seen AS INTEGER) AS searchable FROM o"))
+def workload_sizes(spark, d):
+    """Of every search of ``workload_run`` but the first, which is warm-up: rows seen, and rows in shards or waiting for one."""
+    runs = workload_run(spark, d)
+    return runs.select("kind", "seen", (F.col("main_rows") + F.col("frozen_rows") + F.col("active_rows") + F.col("pending_rows")).alias("searchable"))
+
+
 @query("service_run")
 def service_run(spark, d):
     """Queries, inserts and merges at the same time; recall of each query batch by the version it saw."""

@@ -20,7 +20,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import FailedPrecondition
 from ..operators import exact, ivf, metrics, routes
+from ..sources import artifacts
 from .durable import durable
 from .harness import Engine
 
@@ -133,10 +135,22 @@ class Service:
             self.publish(self._published.version)
         return True
 
+    def start(self, total: int) -> None:
+        """Main on the first rows: trained, or as an earlier run prepared it."""
+        e, s = self.engine, self.engine.settings
+        rows = s.main_rows(total)
+        if s.concurrent_init_mode == "load":
+            main, space, _ = artifacts.load_init(e.spark, s.concurrent_init_path, dim=s.dim, main_rows=rows, whitening=s.use_whitening)
+            e.adopt(*main, space)
+            return
+        e.bootstrap(rows)
+        if s.concurrent_init_mode == "prepare":
+            artifacts.save_init(s.concurrent_init_path, (e.main.model, e.main.postings), e.whitening if s.use_whitening else None, main_rows=rows)
+
     def run(self, total: int, query_rounds: int = 2) -> Service:
         """The whole stream with ``query_workers`` threads asking meanwhile."""
         e = self.engine
-        e.bootstrap(e.settings.main_rows(total))
+        self.start(total)
         self.publish(0)
         self._began = time.perf_counter()
         stop = threading.Event()
@@ -163,11 +177,22 @@ class Service:
         return self.engine.spark.createDataFrame(self.batches, "batch int, version int, begin_row long, end_row long, start_ms double, end_ms double")
 
     def truth(self) -> DataFrame:
-        """version, frontier, query_id, rank, doc_id: exact truth of every committed version."""
-        frontiers = {0: self.engine.settings.main_rows(self.engine.raw.count())} | {b[1]: b[3] for b in self.batches}
-        top = exact.frontier_topk(self.engine.vectors, self.engine.q, self.engine.settings.topk, list(frontiers.values()))
-        versions = self.engine.spark.createDataFrame([(v, f) for v, f in frontiers.items()], "version int, frontier int")
-        return durable(top.join(F.broadcast(versions), "frontier").select("version", "frontier", "query_id", "rank", "doc_id"), "truth")
+        """version, frontier, query_id, rank, doc_id: exact truth of every committed version, searched or as an earlier run prepared it."""
+        e, s = self.engine, self.engine.settings
+        first = self.batches[0][2] if self.batches else e.seen
+        frontiers = {0: first} | {b[1]: b[3] for b in self.batches}
+        facts = {"queries": e.q.count(), "k": s.topk, "initial": first, "batch": s.batch_rows()}
+        if s.concurrent_gt_mode == "load":
+            top = artifacts.load_truth(e.spark, s.concurrent_gt_path, **facts)
+            if missing := set(frontiers.values()) - {r[0] for r in top.select("frontier").distinct().collect()}:
+                raise FailedPrecondition(f"no truth at {min(missing)} rows in {s.concurrent_gt_path}")
+        else:
+            top = exact.frontier_topk(e.vectors, e.q, s.topk, list(frontiers.values()))
+        versions = e.spark.createDataFrame([(v, f) for v, f in frontiers.items()], "version int, frontier int")
+        out = durable(top.join(F.broadcast(versions), "frontier").select("version", "frontier", "query_id", "rank", "doc_id"), "truth")
+        if s.concurrent_gt_mode == "prepare":
+            artifacts.save_truth(s.concurrent_gt_path, out, **facts)
+        return out
 
     def recall(self, at: str = "version", truth: DataFrame | None = None) -> DataFrame:
         """query_id, version, recall by the version a query saw, or by that at its completion."""

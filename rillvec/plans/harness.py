@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..errors import FailedPrecondition, Unavailable
 from ..operators import exact, ivf, merge, metrics, mutate, routes
 from ..operators.whitening import Whitening
+from ..sources import artifacts
 from ..sources.settings import Settings
 from ..sources.workload import insert_range
 from .durable import durable
@@ -62,6 +63,8 @@ class Engine:
     rebuilt_seen: int = 0
     backpressure: int = 0
     version: int = 1
+    #: Truth of a loaded final state.
+    saved_truth: DataFrame | None = None
     _reuse: ivf.IvfModel | None = None
 
     def __post_init__(self) -> None:
@@ -105,17 +108,36 @@ class Engine:
         self.main = self._train(self.rows(0, main_rows), "main", self.settings.ivf_nlist, ivf.MAIN_ITERATIONS)
         self.seen = self.rebuilt_main_rows = main_rows
 
-    def adopt(self, model: ivf.IvfModel, postings: DataFrame, space: Whitening | None) -> None:
-        """Start from a saved consolidated index instead of training one."""
+    def adopt(self, model: ivf.IvfModel, postings: DataFrame, space: Whitening | None, vectors: DataFrame | None = None) -> None:
+        """Start from a saved consolidated index instead of training one; ``vectors`` are rows in its space, if they were saved too."""
         if space is not None:
             self.whitening = space
             t = space.get(max(space.versions))
-            self.vectors = durable(t.apply(self.raw.select("doc_id", "x")), "space")
+            self.vectors = durable(t.apply(self.raw.select("doc_id", "x")), "space") if vectors is None else vectors
             self.q = durable(t.apply(self.queries.select("query_id", "q"), "q"), "queries")
+        elif vectors is not None:
+            self.vectors = vectors
         n = postings.count()
         self.main = Shard("main", model, postings, mutate.OnlineState(np.zeros(model.codebooks.shape[:2] if model.is_pq else (0, 0), np.int64)), n)
         self.seen = self.rebuilt_main_rows = n
 
+    def save_final(self, path: str) -> None:
+        """All shards as they are, with their truth: what ``load_final`` starts from."""
+        main, *rest = self.shards()
+        s = self.settings
+        live_only = s.online_pq_update_scheme == "sliding_window"
+        artifacts.save_final_state(path, main.model, main.postings, self.truth(), self.seen, self.vectors if s.final_state_cache_store_vectors else None, {x.name: (x.model, x.postings) for x in rest}, self.whitening if s.use_whitening else None, live_only, topk=s.topk, queries=self.q.count())
+
+    def load_final(self, path: str) -> None:
+        """The end of an earlier run, ready to be searched; refused if it was made for other rows, queries or another topk."""
+        s = self.settings
+        model, postings, truth, vectors = artifacts.load_final_state(self.spark, path, dim=s.dim, topk=s.topk, queries=self.queries.count(), rows=self.raw.count(), whitening=s.use_whitening)
+        self.adopt(model, postings, artifacts.load_whitening(self.spark, f"{path}/whitening") if s.use_whitening else None, vectors)
+        for name, (m, p) in artifacts.load_recent(self.spark, path).items():
+            counts = np.zeros(m.codebooks.shape[:2] if m.is_pq else (0, 0), np.int64)
+            setattr(self, name, Shard(name, m, p, mutate.OnlineState(counts), p.count()))
+        self.seen, self.saved_truth = self.raw.count(), truth
+
     def ingest(self, end: int) -> None:
         """Rows up to ``end``: into the active shard, or waiting for the next one."""
         begin, self.seen = self.seen, max(self.seen, end)
@@ -274,7 +296,7 @@ class Engine:
 
     def sweep(self) -> DataFrame:
         """nprobe, recall, seconds on the present state, with one ground truth."""
-        truth = durable(self.truth(), "truth")
+        truth = durable(self.truth(), "truth") if self.saved_truth is None else self.saved_truth
         rows = []
         for n in self.settings.nprobe_sweep:
             began = time.perf_counter()

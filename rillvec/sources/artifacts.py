@@ -126,27 +126,47 @@ def load_truth(spark: SparkSession, path: str, **expected) -> DataFrame:
     return spark.read.parquet(f"{path}/truth")
 
 
-def save_final_state(path: str, model: IvfModel, postings: DataFrame, truth: DataFrame, rows: int, vectors: DataFrame | None = None) -> None:
-    """The end of a run: every id below ``rows`` must be in exactly one shard."""
-    if coverage_faults(postings, rows).limit(1).count():
-        raise FailedPrecondition("ids are not covered exactly once")
+def _check_coverage(parts: list[DataFrame], rows: int, live_only: bool, error: type[Exception]) -> None:
+    every = parts[0].select("doc_id")
+    for p in parts[1:]:
+        every = every.unionAll(p.select("doc_id"))
+    faults = coverage_faults(every, rows)
+    if (faults.where("n > 1") if live_only else faults).limit(1).count():
+        raise error("ids are not covered exactly once")
+
+
+def save_final_state(path: str, model: IvfModel, postings: DataFrame, truth: DataFrame, rows: int, vectors: DataFrame | None = None, recent: dict[str, tuple[IvfModel, DataFrame]] | None = None, whitening: Whitening | None = None, live_only: bool = False, **facts) -> None:
+    """The end of a run: every id below ``rows`` must be in exactly one shard, or with ``live_only`` (rows were deleted) in one at most.
+
+    ``recent`` has the other shards by name, ``whitening`` the space of all.
+    """
+    recent = recent or {}
+    _check_coverage([postings, *[p for _, p in recent.values()]], rows, live_only, FailedPrecondition)
     spark = postings.sparkSession
     save_index(f"{path}/index", model, postings)
+    for name, part in recent.items():
+        save_index(f"{path}/recent/{name}", *part)
+    if whitening is not None:
+        save_whitening(spark, f"{path}/whitening", whitening)
     truth.write.mode("overwrite").parquet(f"{path}/truth")
     if vectors is not None:
         vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-    _manifest(spark, path, "final_state", rows=rows, dim=model.dim, vectors=vectors is not None)
+    _manifest(spark, path, "final_state", rows=rows, dim=model.dim, vectors=vectors is not None, recent=sorted(recent), whitening=whitening is not None, live_only=live_only, **facts)
 
 
 def load_final_state(spark: SparkSession, path: str, **expected) -> tuple[IvfModel, DataFrame, DataFrame, DataFrame | None]:
     facts = manifest(spark, path, "final_state")
     require(facts, **expected)
     model, postings, _ = load_index(spark, f"{path}/index")
-    if coverage_faults(postings, facts["rows"]).limit(1).count():
-        raise DataCorruption("ids are not covered exactly once")
+    _check_coverage([postings, *[p for _, p in load_recent(spark, path).values()]], facts["rows"], facts["live_only"], DataCorruption)
     return model, postings, spark.read.parquet(f"{path}/truth"), spark.read.parquet(f"{path}/vectors") if facts["vectors"] else None
 
 
+def load_recent(spark: SparkSession, path: str) -> dict[str, tuple[IvfModel, DataFrame]]:
+    """The shards of a saved final state beside the consolidated one."""
+    return {name: load_index(spark, f"{path}/recent/{name}")[:2] for name in manifest(spark, path, "final_state")["recent"]}
+
+
 # --- reports -------------------------------------------------------------
 
 

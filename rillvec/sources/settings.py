@@ -153,9 +153,8 @@ class Settings:
         return self.delta_train_window * self.batch_rows()
 
 
-#: Options that are read and checked, and then change nothing: executors decide layouts and threads, and saved states are read by hand.
+#: Options that are read and checked, and then change nothing: executors decide layouts and threads.
 NO_EFFECT: tuple[str, ...] = (
-    "final_state_cache_mode", "final_state_cache_path", "final_state_cache_store_vectors", "concurrent_init_mode", "concurrent_init_path", "concurrent_gt_mode", "concurrent_gt_path",
     "concurrent_insert_threads", "concurrent_maintenance_threads", "concurrent_query_threads_per_request", "enable_miss_diag", "enable_rerank_source_diag", "enable_latency_debug",
     "online_pq_qe_ratio_threshold", "pq_codebook_dimension_major", "pq_codes_subquantizer_major",
 )
@@ -204,6 +203,7 @@ _ALONE = {"qe_ratio": _STATE[0], "drift": _STATE[1], "delta_main_ratio": _STATE[
 
 RULES: tuple[tuple[Callable[[Settings], bool], str], ...] = (
     (lambda s: s.concurrent_init_mode != "off" and not s.concurrent_init_path, "an initial state needs concurrent_init_path"),
+    (lambda s: s.concurrent_gt_mode != "off" and not s.concurrent_gt_path, "a saved truth needs concurrent_gt_path"),
     (lambda s: s.concurrent_workload_enable and not all((s.concurrent_query_workers, s.concurrent_query_threads_per_request, s.concurrent_insert_threads, s.concurrent_maintenance_threads)), "a concurrent workload needs at least one thread of each kind"),
     (lambda s: s.exact_rerank_enable and s.exact_rerank_candidates_per_route < max(1, s.topk), "an exact rerank needs topk candidates a route or more"),
     (lambda s: s.enable_rerank_source_diag and not s.exact_rerank_enable, "rerank diagnostics need the exact rerank"),

@@ -104,3 +104,35 @@ print("rows", catalog.QUERIES["adc_search"](spark, {SF!r}).count())
 """
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=240)
     assert "rows 50" in out.stdout, out.stderr[-2000:]
+
+
+def test_modes_save_and_load_states(spark, tmp_path):
+    """A stream's end, a service's start and its truth: written by one run, read by the next."""
+    rows = cloud(spark, 60, 4)
+    d = str(tmp_path)
+    fvecs.write(rows, f"{d}/d_base.fvecs")
+    fvecs.write(rows.where("doc_id < 4"), f"{d}/d_query.fvecs")
+    plain = {k: v for k, v in vars(harness.demo_settings(60, pq_enable=False, pq_m=0, merge_trigger_rows=1000, ivf_nlist=3, delta_ivf_nlist=2, dim=4)).items()}
+
+    def settings_file(name, **changes):
+        (tmp_path / name).write_text(json.dumps(plain | changes))
+        return f"{d}/{name}"
+
+    saved = cli.main(["stream", settings_file("s1", final_state_cache_mode="save", final_state_cache_path=f"{d}/end"), d, d, f"{d}/r1"], spark)
+    load = settings_file("s2", final_state_cache_mode="load", final_state_cache_path=f"{d}/end", nprobe_sweep=[1, 8])
+    loaded = cli.main(["stream", load, d, d, f"{d}/r2"], spark)
+    order = ["query_id", "rank"]
+    assert loaded.search().select("query_id", "rank", "doc_id").orderBy(*order).collect() == saved.search().select("query_id", "rank", "doc_id").orderBy(*order).collect()
+    assert loaded.active is not None and loaded.active.rows == saved.active.rows and not loaded.snapshots
+    assert spark.read.json(f"{d}/r2/curve").orderBy("nprobe").collect()[-1].recall == 1.0
+    with pytest.raises(errors.FailedPrecondition):
+        cli.main(["stream", settings_file("s3", final_state_cache_mode="load", final_state_cache_path=f"{d}/end", nprobe_sweep=[1], topk=9), d, d, f"{d}/r3"], spark)
+
+    paths = {"concurrent_init_path": f"{d}/init", "concurrent_gt_path": f"{d}/truth", "concurrent_workload_enable": True}
+    first = cli.main(["serve", settings_file("s4", concurrent_init_mode="prepare", concurrent_gt_mode="prepare", **paths), d, d, f"{d}/r4"], spark)
+    second = cli.main(["serve", settings_file("s5", concurrent_init_mode="load", concurrent_gt_mode="load", **paths), d, d, f"{d}/r5"], spark)
+    assert np.array_equal(first.main.model.centroids, second.main.model.centroids) and second.seen == 60
+    recall = [spark.read.option("header", True).option("inferSchema", True).csv(f"{d}/{r}/recall-version").agg(F.min("recall")).first()[0] for r in ("r4", "r5")]
+    assert min(recall) >= 0.9
+    with pytest.raises(errors.FailedPrecondition):
+        cli.main(["serve", settings_file("s6", concurrent_init_mode="load", concurrent_gt_mode="load", **(paths | {"stream_batch_size": 9})), d, d, f"{d}/r6"], spark)
