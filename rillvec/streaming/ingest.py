@@ -19,9 +19,8 @@ from ..plans.durable import durable_dir
 
 def publish_batch(batch: DataFrame, batch_id: int, model: IvfModel, path: str, shard: str) -> None:
     """Postings of one micro-batch, in a folder of its own, and its line of the manifest."""
-    rows = postings_of(encode(batch, model), shard).withColumn("batch_id", F.lit(batch_id))
-    rows.write.mode("overwrite").parquet(f"{path}/postings/{batch_id:09d}")
-    line = batch.sparkSession.createDataFrame([(batch_id, f"{batch_id:09d}")], "batch_id long, folder string")
+    postings_of(encode(batch, model), shard).write.mode("overwrite").parquet(f"{path}/postings/batch_id={batch_id}")
+    line = batch.sparkSession.createDataFrame([(batch_id,)], "batch_id int")
     line.coalesce(1).write.mode("overwrite").json(f"{path}/manifest/{batch_id:09d}")
 
 
@@ -33,12 +32,14 @@ def start(stream: DataFrame, model: IvfModel, path: str, shard: str = "active",
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
-    """shard, list_id, doc_id, code, batch_id of all batches that the manifest names."""
-    folders = [r["folder"] for r in spark.read.schema("batch_id long, folder string").json(f"{path}/manifest/*").orderBy("batch_id").collect()]
-    schema = "shard string, list_id int, doc_id long, code array<short>, batch_id int"
-    if not folders:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{path}/postings/{f}" for f in folders])
+    """shard, list_id, doc_id, code, batch_id of all batches that the manifest names.
+
+    Batches are partitions of one table; the manifest prunes them in a
+    semi-join; the driver collects no manifest and names no paths one by one.
+    """
+    named = spark.read.schema("batch_id int").json(f"{path}/manifest/*")
+    rows = spark.read.schema("shard string, list_id int, doc_id long, code array<short>, batch_id int").parquet(f"{path}/postings")
+    return rows.join(named, "batch_id", "left_semi").select("shard", "list_id", "doc_id", "code", "batch_id")
 
 
 def latency_stream(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
