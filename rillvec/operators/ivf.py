@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import FailedPrecondition, InvalidArgument
-from ..functions.vectors import l2sq
+from ..functions.vectors import adc, as_double, l2sq, residual, subvector
 from ..plans.reduce import PARTIAL, collect_sums, partial
 from ..plans.shared import share
 from .exact import fast_sqdist, matrix, nearest_pairs, query_blocks, rough_sqdist, top_k
@@ -479,16 +479,20 @@ def search_adc(model: IvfModel, postings: DataFrame, queries: DataFrame, k: int,
 
 
 def adc_columns(model: IvfModel, postings: DataFrame, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
-    """The same by built-in expressions: the twin that tests hold the kernel against."""
+    """The same by built-in expressions: the twin that tests hold the kernel against.
+
+    A code's terms are added in its own order, not by an aggregate, whose order
+    is open: rows of one list and code tie to the last bit, and ties go by doc_id.
+    """
     spark = postings.sparkSession
     probed = probes(queries, model.centroid_table(spark), nprobe, model.nlist)
-    m, _, width = model.codebooks.shape
-    coded = postings.select("list_id", "doc_id", F.posexplode("code").alias("m", "k"))
-    part = lambda c: F.slice(c, F.col("m") * width + 1, F.lit(width))
-    q = F.zip_with("q", "c", lambda a, b: a - b) if model.residual else F.col("q").cast("array<double>")
-    words = F.broadcast(model.codebook_table(spark))
-    terms = probed.withColumn("r", q).join(coded, "list_id").join(words, ["m", "k"]).select("query_id", "doc_id", "list_id", l2sq(part(F.col("r")), "z").alias("d"))
-    return top_k(terms.groupBy("query_id", "doc_id", "list_id").agg(F.sum("d").alias("approx")), k, ["approx", "doc_id"])
+    width = model.codebooks.shape[2]
+    books = F.broadcast(spark.createDataFrame([(model.codebooks.tolist(),)], "books array<array<array<double>>>"))
+    r = residual("q", "c") if model.residual else as_double("q")
+    table = F.transform("books", lambda book, m: F.transform(book, lambda z: l2sq(subvector(F.col("r"), m, width), z)))
+    tables = probed.withColumn("r", r).crossJoin(books).select("query_id", "list_id", table.alias("t"))
+    coded = postings.select("list_id", "doc_id", "code").where("code is not null")
+    return top_k(tables.join(coded, "list_id").select("query_id", "doc_id", "list_id", adc("t", "code").alias("approx")), k, ["approx", "doc_id"])
 
 
 def scanned(queries: DataFrame, centroids: DataFrame, postings: DataFrame, nprobe: int, nlist: int) -> DataFrame:
