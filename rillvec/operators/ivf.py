@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import FailedPrecondition, InvalidArgument
-from ..functions.vectors import adc, as_double, l2sq, residual, subvector
+from ..functions.vectors import as_double, l2sq, residual, subvector
 from ..plans.reduce import PARTIAL, collect_sums, partial
 from ..plans.shared import share
 from .exact import fast_sqdist, matrix, nearest_pairs, query_blocks, rough_sqdist, top_k
@@ -492,7 +494,9 @@ def adc_columns(model: IvfModel, postings: DataFrame, queries: DataFrame, k: int
     table = F.transform("books", lambda book, m: F.transform(book, lambda z: l2sq(subvector(F.col("r"), m, width), z)))
     tables = probed.withColumn("r", r).crossJoin(books).select("query_id", "list_id", table.alias("t"))
     coded = postings.select("list_id", "doc_id", "code").where("code is not null")
-    return top_k(tables.join(coded, "list_id").select("query_id", "doc_id", "list_id", adc("t", "code").alias("approx")), k, ["approx", "doc_id"])
+    # Term by term, for generated code: a fold would be interpreted for each pair.
+    approx = reduce(add, [F.get(F.get("t", F.lit(m)), F.get("code", F.lit(m)).cast("int")) for m in range(len(model.codebooks))])
+    return top_k(tables.join(coded, "list_id").select("query_id", "doc_id", "list_id", approx.alias("approx")), k, ["approx", "doc_id"])
 
 
 def scanned(queries: DataFrame, centroids: DataFrame, postings: DataFrame, nprobe: int, nlist: int) -> DataFrame:
